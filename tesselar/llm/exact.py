@@ -15,12 +15,14 @@ of the input are kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import in_keys, table
+from .shared import checkpointed, in_keys, table, whole, without_keys
 
 MEMTABLE_ROWS = 1 << 16
 FANOUT = 4
@@ -115,7 +117,30 @@ class Index:
             n[yes] += run.rows["n"][at[yes]]
         return best, n
 
+    def repeated(self) -> Iterator[np.ndarray]:
+        """The digests that more than one row has, each once, with smallest identifier and number of rows.
+
+        Every run looks its digests up in the runs before it, through their filters; none is merged for this.
+        """
+        self.flush()
+        runs = self.runs()
+        for k, run in enumerate(runs):
+            rows = run.rows.copy()
+            new = np.ones(len(rows), bool)
+            for other in runs[:k]:
+                new &= other.find(rows["a"], rows["b"]) < 0
+            rows = rows[new]
+            for other in runs[k + 1 :]:
+                at = other.find(rows["a"], rows["b"])
+                yes = at >= 0
+                rows["id"][yes] = np.minimum(rows["id"][yes], other.rows["id"][at[yes]])
+                rows["n"][yes] += other.rows["n"][at[yes]]
+            rows = rows[rows["n"] > 1]
+            if len(rows):
+                yield rows
+
     def compact(self) -> Run:
+        """All runs as one."""
         self.flush()
         runs = self.runs()
         self.levels = [[Run(np.concatenate([r.rows for r in runs]) if runs else np.zeros(0, _ROW))]]
@@ -134,29 +159,48 @@ def hits(docs: DataFrame, *, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
         lsm = Index(memtable_rows)
         for batch in batches:
             lsm.add(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-        rows = lsm.compact().rows
-        rows = rows[rows["n"] > 1]
-        if len(rows):
+        for rows in lsm.repeated():
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[k])) for k in ("a", "b", "id", "n")], ["a", "b", "first_id", "n"])
 
     some = docs.where("text IS NOT NULL").select(a.alias("a"), b.alias("b"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
     return some.repartition("a").mapInArrow(index, "a long, b long, first_id long, n long")
 
 
-def _ranked(docs: DataFrame, *, memtable_rows: int = MEMTABLE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs that may have copies, with copy_a, copy_nth and copy_first; all other rows of docs)."""
-    from .shared import checkpointed
-
+def _copies(docs: DataFrame, memtable_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(digests of hits, the rows that have them: whole, a, b, text, doc_id, nth among equal texts, first)."""
     keys = checkpointed(hits(docs, memtable_rows=memtable_rows).select("a").distinct())
     a, b = digests(F.col("text"))
-    null = F.col("text").isNull()
-    order = Window.partitionBy("copy_a", "copy_b", "text").orderBy(F.col("doc_id").asc_nulls_last())
-    same = in_keys(docs.where(~null), a, keys).withColumns({"copy_a": a, "copy_b": b})
-    same = same.withColumns({"copy_nth": F.row_number().over(order), "copy_first": F.first("doc_id").over(order)})
-    return same, docs.join(keys.select(F.col("a").alias("copy_key")), a == F.col("copy_key"), "left_anti")
+    may = in_keys(docs.where("text IS NOT NULL"), a, keys)
+    same = whole(may, a=a, b=b, text=F.col("text"), doc_id=F.col("doc_id"))
+    equal = Window.partitionBy("a", "b", "text").orderBy(F.col("doc_id").asc_nulls_last())
+    return keys, same.withColumns({"nth": F.row_number().over(equal), "first": F.first("doc_id").over(equal)})
 
 
 def find(docs: DataFrame, *, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """(doc_id, keep_id, is_copy): for every copy but the first, which document stays in its place, and that document's own row."""
-    same, _ = _ranked(docs.select("doc_id", "text"), memtable_rows=memtable_rows)
-    return same.select("doc_id", F.col("copy_first").alias("keep_id"), (F.col("copy_nth") > 1).alias("is_copy"))
+    """(doc_id, keep_id) for every row that goes: an equal text with identifier keep_id stays in its place."""
+    _, same = _copies(docs.select("doc_id", "text"), memtable_rows)
+    return same.where("nth > 1").select("doc_id", F.col("first").alias("keep_id"))
+
+
+def dedup(docs: DataFrame, *, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """docs, whole rows, without copies: of equal texts the row with the smallest identifier stays."""
+    keys, same = _copies(docs, memtable_rows)
+    others = without_keys(docs, F.when(F.col("text").isNotNull(), digests(F.col("text"))[0]), keys)
+    return others.unionByName(same.where("nth = 1").select("whole.*"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies among the documents, each with the document that stays in its place."""
+    return find(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without exact copies."""
+    return dedup(docs)
+
+
+ORACLE_SQL = """
+SELECT doc_id, keep_id FROM (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth
+  FROM documents WHERE text IS NOT NULL) WHERE nth > 1
+"""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, table
+from .shared import checkpointed, table, whole
 
 TEMPERING = 0.7
 SEED = 11
@@ -52,12 +52,13 @@ def sampling_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
 def prepared(docs: DataFrame, *, weight: str | None = None, seed: int = SEED) -> DataFrame:
     """(source, doc_id, n_tokens, key) of each row of docs, in columns named mix_*."""
     n = tokens(F.col("text"))
-    w = F.col(weight) if weight else quality_weight(F.col("text"), F.col("mix_tokens"))
-    return docs.withColumn("mix_tokens", n).select("source", "doc_id", "mix_tokens", sampling_key(F.col("doc_id"), w, seed).alias("mix_key"))
+    w = F.col(f"`{weight}`") if weight else quality_weight(F.col("text"), n)
+    rows = docs.select("source", "doc_id", n.alias("mix_tokens"), w.alias("weight"))
+    return rows.select("source", "doc_id", "mix_tokens", sampling_key(F.col("doc_id"), F.col("weight"), seed).alias("mix_key"))
 
 
 def plan(rows: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, tempering: float = TEMPERING) -> DataFrame:
-    """(mix_source, epochs, cut_key, cut_id, cut_tokens) for each source of prepared rows.
+    """(mix_source, epochs, cut_bin, cut_key, cut_id, cut_tokens) for each source of prepared rows.
 
     A row is in the fractional part if (key, identifier, tokens) is at most the cutoff; a null cut_key takes nothing.
     """
@@ -77,26 +78,31 @@ def plan(rows: DataFrame, *, targets: dict[str, float] | None = None, budget: in
     sums = every.agg(F.sum("share").alias("shares"), F.sum("total").alias("all"))
     wanted = F.lit(float(budget)) if budget is not None else F.col("all").cast("double")
     quota = F.floor(wanted * F.col("share") / F.col("shares"))
-    budgets = every.crossJoin(F.broadcast(sums)).select(
-        "mix_source",
-        F.when(F.col("total") > 0, F.floor(quota / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("epochs"),
-        F.when(F.col("total") > 0, quota % F.col("total")).otherwise(F.lit(-1)).cast("long").alias("rest"),
+    budgets = checkpointed(
+        every.crossJoin(F.broadcast(sums)).select(
+            "mix_source",
+            F.when(F.col("total") > 0, F.floor(quota / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("epochs"),
+            F.when(F.col("total") > 0, quota % F.col("total")).otherwise(F.lit(-1)).cast("long").alias("rest"),
+        )
     )
+
+    def of(df: DataFrame, left: str, other: DataFrame, how: str = "inner") -> DataFrame:
+        """df with the row of other, a frame by mix_source, that has the same source; null is a source."""
+        named = other.withColumnRenamed("mix_source", "other_source")
+        return df.join(named, F.col(left).eqNullSafe(F.col("other_source")), how).drop("other_source")
+
     order = Window.partitionBy("mix_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = binned.withColumn("before", F.coalesce(F.sum("in_bin").over(order), F.lit(0)))
-    held = before.join(budgets, before.mix_source.eqNullSafe(budgets.mix_source)).select(before.mix_source, "epochs", "rest", "bin", "before", "in_bin")
-    # The bin in which the rest runs out: the first that doesn't fit whole. Without one, the last bin.
-    edge = held.where("before <= rest").groupBy("mix_source").agg(F.max_by(F.struct("bin", "before"), "bin").alias("e")).select(F.col("mix_source").alias("edge_source"), "e.bin", "e.before")
-    cuts = rows.join(edge, rows.source.eqNullSafe(edge.edge_source) & (bin_ == edge.bin)).join(
-        budgets.select(F.col("mix_source").alias("b_source"), "rest"), F.col("edge_source").eqNullSafe(F.col("b_source"))
-    )
-    inside = Window.partitionBy("edge_source").orderBy("mix_key", "doc_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    # The bin in which the rest runs out: the last that begins within it.
+    edge = of(before, "mix_source", budgets).where("before <= rest").groupBy("mix_source").agg(F.max_by(F.struct("bin", "before", "rest"), "bin").alias("e"))
+    edge = checkpointed(edge.select("mix_source", F.col("e.bin").alias("edge_bin"), "e.before", "e.rest"))
+    cuts = of(rows, "source", edge).where(bin_ == F.col("edge_bin"))
+    inside = Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
     fits = cuts.withColumn("sum", F.col("before") + F.sum("mix_tokens").over(inside)).where("sum <= rest")
-    last = fits.groupBy("edge_source").agg(F.max(F.struct("mix_key", "doc_id", "mix_tokens")).alias("c"))
-    # If not even the first row of that bin fits, all earlier bins do: the cutoff is the lower end of the bin.
-    ends = edge.join(last, edge.edge_source.eqNullSafe(last.edge_source), "left").select(edge.edge_source, "bin", "c")
-    out = budgets.join(ends, budgets.mix_source.eqNullSafe(ends.edge_source), "left")
-    return out.select("mix_source", "epochs", F.col("bin").alias("cut_bin"), F.col("c.mix_key").alias("cut_key"), F.col("c.doc_id").alias("cut_id"), F.col("c.mix_tokens").alias("cut_tokens"))
+    last = fits.groupBy(F.col("source").alias("mix_source")).agg(F.max(F.struct("mix_key", "doc_id", "mix_tokens")).alias("c"))
+    # If not even the first row of that bin fits, c is null: all earlier bins are taken and nothing of this one.
+    ends = of(of(budgets, "mix_source", edge.select("mix_source", "edge_bin"), "left"), "mix_source", last, "left")
+    return ends.select("mix_source", "epochs", F.col("edge_bin").alias("cut_bin"), F.col("c.mix_key").alias("cut_key"), F.col("c.doc_id").alias("cut_id"), F.col("c.mix_tokens").alias("cut_tokens"))
 
 
 def copies(key: Column, doc_id: Column, n: Column) -> Column:
@@ -122,10 +128,11 @@ def mix(docs: DataFrame, *, weight: str | None = None, seed: int = SEED, **how)
     """The rows of docs, whole, each as many times as it is taken."""
     p = checkpointed(plan(checkpointed(prepared(docs, weight=weight, seed=seed)), **how))
     n = tokens(F.col("text"))
-    w = F.col(weight) if weight else quality_weight(F.col("text"), F.col("mix_tokens"))
-    keyed = docs.withColumn("mix_tokens", n).withColumn("mix_key", sampling_key(docs.doc_id, w, seed))
-    taken = keyed.join(p, keyed.source.eqNullSafe(p.mix_source)).withColumn("mix_copies", copies(F.col("mix_key"), keyed.doc_id, F.col("mix_tokens"))).where("mix_copies > 0")
-    return taken.withColumn("mix_nth", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[keyed[f"`{c}`"] for c in docs.columns])
+    rows = whole(docs, source=F.col("source"), doc_id=F.col("doc_id"), n_tokens=n, weight=F.col(f"`{weight}`") if weight else quality_weight(F.col("text"), n))
+    keyed = rows.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"), seed))
+    # A plan has one row for each source.
+    taken = keyed.join(p, keyed.source.eqNullSafe(p.mix_source)).withColumn("copies", copies(F.col("key"), F.col("doc_id"), F.col("n_tokens"))).where("copies > 0")
+    return taken.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,51 +13,78 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 32 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only a local session that has none gets a temporary one.
+    Only a local session that has none gets a temporary one.
     """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if where is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        where = sc._jsc.sc().getCheckpointDir().get()
+    if where is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tesselar-checkpoint-")
+        sc.setCheckpointDir(where)
+    return where
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="tesselar-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def in_keys(df: DataFrame, key: Column, keys: DataFrame, *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Rows of df whose 64-bit key is among keys (one LONG column without duplicates).
-
-    The keys are counted first. While they fit max_bytes they go to the executors as one sorted array, and only
-    key itself is sent to Python, never the rest of the row; beyond that the same rows come from a semi join.
-    """
+def _by_keys(df: DataFrame, key: Column, keys: DataFrame, inside: bool, max_bytes: int) -> DataFrame:
     n = keys.count()
     if n * 8 > max_bytes:
         name = "__tsl_key"
         return (
             df.withColumn(name, key)
-            .join(keys.toDF(name), name, "left_semi")
+            .join(keys.toDF(name), name, "left_semi" if inside else "left_anti")
             .select(*[F.col(f"`{c}`") for c in df.columns])
         )
     found = keys.toPandas()
     held = df.sparkSession.sparkContext.broadcast(np.sort(found[found.columns[0]].to_numpy("int64")))
 
-    @F.pandas_udf("boolean")
-    def member(h: pd.Series) -> pd.Series:
-        known, x = held.value, h.to_numpy("int64")
+    @F.arrow_udf("boolean")
+    def member(h: pa.Array) -> pa.Array:
+        known, null = held.value, h.is_null().to_numpy(zero_copy_only=False)
+        x = h.fill_null(0).to_numpy(zero_copy_only=False)
         if not len(known):
-            return pd.Series(np.zeros(len(x), bool))
+            return pa.array(np.full(len(x), not inside))
         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        return pd.Series(known[at] == x)
+        return pa.array(((known[at] == x) & ~null) == inside)
 
     return df.where(member(key))
 
 
+def in_keys(df: DataFrame, key: Column, keys: DataFrame, *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Rows of df whose 64-bit key is among keys (one LONG column without duplicates or nulls); a null key is not.
+
+    The keys are counted first. While they fit max_bytes they go to the executors as one sorted array, and only
+    key itself is sent to Python, never the rest of the row; beyond that the same rows come from a semi join.
+    """
+    return _by_keys(df, key, keys, True, max_bytes)
+
+
+def without_keys(df: DataFrame, key: Column, keys: DataFrame, *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The other rows of df, those with a null key among them."""
+    return _by_keys(df, key, keys, False, max_bytes)
+
+
+def whole(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with each row packed into the one column `whole`, beside further columns that no name of df can clash with.
+
+    `.select("whole.*")` gives the rows back.
+    """
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("whole"), *[c.alias(n) for n, c in columns.items()])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its connected component.
 
