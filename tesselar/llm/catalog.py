@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, hosts, minhash, mixing, quality, toxicity
+from . import bpe, exact, hosts, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op2_quality": quality.query,
     "op3_mixing": mixing.query,
+    "op4_bpe": bpe.query,
     "op5_toxicity": toxicity.query,
     "op6_minhash": minhash.query,
     "op8_exact": exact.query,
