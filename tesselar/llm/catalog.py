@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, hosts, minhash, mixing, quality, toxicity
+from . import bpe, exact, fingerprint, hosts, lines, minhash, mixing, quality, shards, toxicity
 
 QUERIES = {
+    "op1_shards": shards.query,
     "op2_quality": quality.query,
     "op3_mixing": mixing.query,
     "op4_bpe": bpe.query,
     "op5_toxicity": toxicity.query,
     "op6_minhash": minhash.query,
+    "op7_lines": lines.query,
     "op8_exact": exact.query,
+    "op9_fingerprint": fingerprint.query,
     "op10_hosts": hosts.query,
 }
 
