@@ -32,8 +32,8 @@ from .shared import table
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-STORE_WORDS = 1 << 20
-_SLICE = 2 << 20
+STORE_WORDS = 1 << 18
+_SLICE = 1 << 19
 
 
 class Vocabulary:
