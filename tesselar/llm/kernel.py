@@ -51,7 +51,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of whole rows of about `most` bytes of text; one longer text is a run by itself."""
     for batch in batches:
         offs, _ = buffers(batch.column(column))
