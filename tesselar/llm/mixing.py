@@ -15,7 +15,7 @@ Tokens are runs of anything but space, tab and line ends. A weight is 1 / (1 + 4
 
 Cases: a null source is a source of its own; a null or empty text has no tokens and weight 1, and stays if its turn
 comes before the budget runs out; a null identifier is sampled as the identifier ''; rows that repeat an identifier in
-a source share key and order, and stay or go by their tokens; a source without tokens is kept once; an empty table
+a source share key and order, and stay or go by their tokens; a source without tokens is kept once; a remainder of 0 takes nothing; an empty table
 gives an empty result. Target weights that name no source of the table, or none above 0, raise ValueError.
 """
 
@@ -82,7 +82,7 @@ def plan(rows: DataFrame, *, targets: dict[str, float] | None = None, budget: in
         every.crossJoin(F.broadcast(sums)).select(
             "mix_source",
             F.when(F.col("total") > 0, F.floor(quota / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("epochs"),
-            F.when(F.col("total") > 0, quota % F.col("total")).otherwise(F.lit(-1)).cast("long").alias("rest"),
+            F.when((F.col("total") > 0) & (quota % F.col("total") > 0), quota % F.col("total")).otherwise(F.lit(-1)).cast("long").alias("rest"),
         )
     )
 
@@ -156,7 +156,7 @@ mix_q AS (SELECT source, total, floor((SELECT sum(total) FROM mix_t) * pow(total
 mix_r AS (SELECT b.*, CASE WHEN total > 0 THEN floor(quota / total) ELSE 1 END AS epochs, CASE WHEN total > 0 THEN quota::BIGINT % total ELSE -1 END AS rest,
   sum(mix_tokens) OVER (PARTITION BY b.source ORDER BY mix_key, doc_id, mix_tokens ROWS UNBOUNDED PRECEDING) AS running
   FROM mix_b b JOIN mix_q q ON b.source IS NOT DISTINCT FROM q.source),
-mixed AS (SELECT * EXCLUDE (epochs, rest, running), (epochs + CASE WHEN running <= rest THEN 1 ELSE 0 END)::BIGINT AS mix_copies FROM mix_r)"""
+mixed AS (SELECT * EXCLUDE (epochs, rest, running), (epochs + CASE WHEN running <= rest AND rest > 0 THEN 1 ELSE 0 END)::BIGINT AS mix_copies FROM mix_r)"""
 
 
 ORACLE_SQL = f"WITH {sql('documents')} SELECT doc_id, source, mix_tokens::BIGINT AS n_tokens, mix_copies AS copies FROM mixed WHERE mix_copies > 0"
