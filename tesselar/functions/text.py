@@ -57,8 +57,9 @@ def _in_class(chars: list[str]) -> str:
 def fold(text: Column) -> Column:
     """Lower case without accents: compatibility decomposition, combining marks dropped."""
     source, target, many = _fold_tables()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
-    spelled = F.when(text.rlike(_in_class([a for a, _ in many])), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(text)
+    # One literal: each entry is a code point and what it becomes.
+    pairs = F.split(F.lit("\x01".join(a + b for a, b in many)), "\x01")
+    spelled = F.when(text.rlike(_in_class([a for a, _ in many])), F.aggregate(pairs, text, lambda t, p: F.replace(t, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))).otherwise(text)
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(spelled, source, target))).otherwise(F.lower(text))
 
 
@@ -116,14 +117,24 @@ def snippet(text: Column, query_words: Column, *, width: int = 260, step: int =
 
     Words count as often as they repeat in the query. Cut ends are marked by an ellipsis.
     """
-    body = squeezed(F.coalesce(text, F.lit("")))
-    low, n = fold(body), F.length(body)
-    begins = F.sequence(F.lit(0), F.greatest(n - width, F.lit(1)) - 1, F.lit(step))
+    def bound(column: Column, use) -> Column:
+        """use(column) with column evaluated once, although lambdas inside refer to it again and again."""
+        return F.get(F.transform(F.array(column), use), 0)
 
-    def hits(at: Column) -> Column:
-        window = F.substring(low, at + 1, F.lit(width))
-        return F.struct(F.size(F.filter(query_words, lambda w: F.contains(window, w))).alias("hits"), (-at).alias("minus"))
+    def cut(body: Column) -> Column:
+        n = F.length(body)
+        begins = F.sequence(F.lit(0), F.greatest(n - width, F.lit(1)) - 1, F.lit(step))
 
-    best = F.array_max(F.transform(begins, hits))
-    at = F.when(best["hits"] > 0, -best["minus"]).otherwise(F.lit(0))
-    return F.concat(F.when(at > 0, "…").otherwise(""), F.substring(body, at + 1, F.lit(width)), F.when(at + width < n, "…").otherwise(""))
+        def best(low: Column, words: Column) -> Column:
+            def hits(at: Column) -> Column:
+                return bound(F.substring(low, at + 1, F.lit(width)), lambda window: F.struct(F.size(F.filter(words, lambda w: F.contains(window, w))).alias("hits"), (-at).alias("minus")))
+
+            return F.array_max(F.transform(begins, hits))
+
+        def shown(top: Column) -> Column:
+            at = F.when(top["hits"] > 0, -top["minus"]).otherwise(F.lit(0))
+            return F.concat(F.when(at > 0, "…").otherwise(""), F.substring(body, at + 1, F.lit(width)), F.when(at + width < n, "…").otherwise(""))
+
+        return bound(fold(body), lambda low: bound(query_words, lambda words: bound(best(low, words), shown)))
+
+    return bound(squeezed(F.coalesce(text, F.lit(""))), cut)
