@@ -2,7 +2,8 @@
 
 Labelled page outcomes (good or bad) are counted by host, registered domain and public suffix. Each level's rate is
 shrunk towards its parent's posterior mean through a beta prior whose strength is fitted to the data: the overdispersion
-rho of the beta-binomial is found by moments over all children of the level, and the strength is 1 / rho - 1. A page is
+rho of the beta-binomial is found by moments over all labelled children of the level, and the strength is 1 / rho - 1;
+a level that can't tell (fewer than two such children, or none with two labels) has the weakest prior, 1. A page is
 kept unless the upper bound of its host's posterior lies below the required share of good pages, so a host goes only
 when its record is surely bad; hosts without any label have their domain's posterior.
 
@@ -49,8 +50,11 @@ def _shrunk(level: DataFrame, parent: DataFrame, on: str) -> DataFrame:
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("pm"), 2)).alias("between"),
         F.sum(v).alias("expected"),
         F.sum(v * (F.col("n") - 1)).alias("room"),
+        F.count("*").alias("children"),
     )
-    rho = F.least(F.greatest(F.coalesce(F.when(F.col("room") > 0, (F.col("between") - F.col("expected")) / F.when(F.col("room") > 0, F.col("room"))), F.lit(0.001)), F.lit(0.001)), F.lit(0.5))
+    able = (F.col("children") > 1) & (F.col("room") > 0)
+    fitted = F.when(able, (F.col("between") - F.col("expected")) / F.when(able, F.col("room")))
+    rho = F.least(F.greatest(F.coalesce(fitted, F.lit(0.5)), F.lit(0.001)), F.lit(0.5))
     strength = over.select((1 / rho - 1).alias("s"))
     return x.crossJoin(F.broadcast(strength)).withColumn("m", (F.col("s") * F.col("pm") + F.col("k")) / (F.col("s") + F.col("n")))
 
@@ -104,8 +108,8 @@ _SUF = "(" + ", ".join(f"'{s}'" for s in SUFFIXES) + ")"
 def _level_sql(name: str, level: str, parent: str, on: str) -> str:
     return f"""
 {name}_x AS (SELECT l.*, p.m AS pm, p.m * (1 - p.m) AS v FROM {level} l JOIN {parent} p ON l.{on} = p.{on}),
-{name}_o AS (SELECT sum(n * pow(k::DOUBLE / n - pm, 2)) AS b, sum(v) AS e, sum(v * (n - 1)) AS room FROM {name}_x WHERE n > 0),
-{name}_s AS (SELECT 1 / least(greatest(coalesce(CASE WHEN room > 0 THEN (b - e) / room END, 0.001), 0.001), 0.5) - 1 AS s FROM {name}_o),
+{name}_o AS (SELECT sum(n * pow(k::DOUBLE / n - pm, 2)) AS b, sum(v) AS e, sum(v * (n - 1)) AS room, count(*) AS c FROM {name}_x WHERE n > 0),
+{name}_s AS (SELECT 1 / least(greatest(coalesce(CASE WHEN c > 1 AND room > 0 THEN (b - e) / room END, 0.5), 0.001), 0.5) - 1 AS s FROM {name}_o),
 {name} AS (SELECT x.* EXCLUDE (v, pm), s, (s * pm + k) / (s + n) AS m FROM {name}_x x, {name}_s)"""
 
 
