@@ -162,7 +162,8 @@ class Lsa:
 def load(spark: SparkSession, path: str) -> Lsa:
     table = spark.read.parquet(f"{path}/lsa_terms")
     rows = sorted((r["term_id"], r["component"]) for r in table.select("term_id", "component").toLocalIterator())
-    return Lsa(table.select("term", "term_id", "idf"), np.array([c for _, c in rows]), np.array(spark.read.parquet(f"{path}/lsa_singular").first()["singular"]))
+    singular = np.array(spark.read.parquet(f"{path}/lsa_singular").first()["singular"])
+    return Lsa(table.select("term", "term_id", "idf"), np.array([c for _, c in rows]).reshape(len(rows), len(singular)), singular)
 
 
 def sparse(weights: DataFrame, terms: DataFrame) -> DataFrame:
