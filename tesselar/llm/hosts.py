@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and public suffix. Each level's rate is
 shrunk towards its parent's posterior mean through a beta prior whose strength is fitted to the data: the overdispersion
 rho of the beta-binomial is found by moments over all labelled children of the level, and the strength is 1 / rho - 1;
-a level that can't tell (fewer than two such children, or none with two labels) has the weakest prior, 1. A page is
+a level that can't tell (fewer than two such children, or none with two labels) has the weakest prior, 1. Posterior variances
+go down the levels with the means. A page is
 kept unless the upper bound of its host's posterior lies below the required share of good pages, so a host goes only
 when its record is surely bad; hosts without any label have their domain's posterior.
 
@@ -43,8 +44,11 @@ def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
 
 
 def _shrunk(level: DataFrame, parent: DataFrame, on: str) -> DataFrame:
-    """level (.., n, k, parent's key `on`) with m, its posterior mean, and s, the strength of its prior."""
-    x = level.join(parent.select(on, F.col("m").alias("pm")), on)
+    """level (.., n, k, parent's key `on`) with m and var, its posterior mean and variance, and s, its prior's strength.
+
+    What the parent's mean is unsure of stays unsure in a child, the more so the fewer labels of its own it has.
+    """
+    x = level.join(parent.select(on, F.col("m").alias("pm"), F.col("var").alias("pvar")), on)
     v = F.col("pm") * (1 - F.col("pm"))
     over = x.where("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("pm"), 2)).alias("between"),
@@ -56,7 +60,9 @@ def _shrunk(level: DataFrame, parent: DataFrame, on: str) -> DataFrame:
     fitted = F.when(able, (F.col("between") - F.col("expected")) / F.when(able, F.col("room")))
     rho = F.least(F.greatest(F.coalesce(fitted, F.lit(0.5)), F.lit(0.001)), F.lit(0.5))
     strength = over.select((1 / rho - 1).alias("s"))
-    return x.crossJoin(F.broadcast(strength)).withColumn("m", (F.col("s") * F.col("pm") + F.col("k")) / (F.col("s") + F.col("n")))
+    total = F.col("s") + F.col("n")
+    out = x.crossJoin(F.broadcast(strength)).withColumn("m", (F.col("s") * F.col("pm") + F.col("k")) / total)
+    return out.withColumn("var", F.pow(F.col("s") / total, 2) * F.col("pvar") + F.col("m") * (1 - F.col("m")) / (total + 1)).drop("pm", "pvar")
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = Z) -> DataFrame:
@@ -67,12 +73,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = Z) -> DataFr
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("root", F.lit(1))
-    root = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 0").select(F.lit(1).alias("root"), ((F.col("k") + 1) / (F.col("n") + 2)).alias("m"))
+    root = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 0").select(F.lit(1).alias("root"), "n", ((F.col("k") + 1) / (F.col("n") + 2)).alias("m"))
+    root = root.withColumn("var", F.col("m") * (1 - F.col("m")) / (F.col("n") + 3))
     s = _shrunk(suffixes, root, "root")
     d = _shrunk(domains, s, "suffix")
     h = _shrunk(hosts, d, "domain")
-    total = F.col("s") + F.col("n")
-    upper = F.col("m") + z * F.sqrt(F.col("m") * (1 - F.col("m")) / (total + 1))
+    upper = F.col("m") + z * F.sqrt("var")
     return h.select("host", "domain", "suffix", "n", "k", F.col("m").alias("mean"), F.least(upper, F.lit(1.0)).alias("upper"))
 
 
@@ -107,10 +113,11 @@ _SUF = "(" + ", ".join(f"'{s}'" for s in SUFFIXES) + ")"
 
 def _level_sql(name: str, level: str, parent: str, on: str) -> str:
     return f"""
-{name}_x AS (SELECT l.*, p.m AS pm, p.m * (1 - p.m) AS v FROM {level} l JOIN {parent} p ON l.{on} = p.{on}),
+{name}_x AS (SELECT l.*, p.m AS pm, p.var AS pvar, p.m * (1 - p.m) AS v FROM {level} l JOIN {parent} p ON l.{on} = p.{on}),
 {name}_o AS (SELECT sum(n * pow(k::DOUBLE / n - pm, 2)) AS b, sum(v) AS e, sum(v * (n - 1)) AS room, count(*) AS c FROM {name}_x WHERE n > 0),
 {name}_s AS (SELECT 1 / least(greatest(coalesce(CASE WHEN c > 1 AND room > 0 THEN (b - e) / room END, 0.5), 0.001), 0.5) - 1 AS s FROM {name}_o),
-{name} AS (SELECT x.* EXCLUDE (v, pm), s, (s * pm + k) / (s + n) AS m FROM {name}_x x, {name}_s)"""
+{name}_m AS (SELECT x.* EXCLUDE (v, pm), s, (s * pm + k) / (s + n) AS m FROM {name}_x x, {name}_s),
+{name} AS (SELECT * EXCLUDE (pvar), pow(s / (s + n), 2) * pvar + m * (1 - m) / (s + n + 1) AS var FROM {name}_m)"""
 
 
 ORACLE_SQL = f"""
@@ -122,11 +129,12 @@ q AS (SELECT page_id, host, CASE WHEN array_to_string(parts[-2:], '.') IN {_SUF}
 hosts AS (SELECT host, domain, suffix, count(good) AS n, coalesce(sum(good), 0)::BIGINT AS k FROM q LEFT JOIN o USING (page_id) WHERE host IS NOT NULL GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS root FROM domains GROUP BY suffix),
-roots AS (SELECT 1 AS root, (sum(k) + 1.0) / (sum(n) + 2.0) AS m FROM suffixes HAVING sum(n) > 0),
+root0 AS (SELECT 1 AS root, sum(n)::DOUBLE AS n, (sum(k)::DOUBLE + 1) / (sum(n)::DOUBLE + 2) AS m FROM suffixes HAVING sum(n) > 0),
+roots AS (SELECT root, m, m * (1 - m) / (n + 3) AS var FROM root0),
 {_level_sql("s", "suffixes", "roots", "root")},
 {_level_sql("d", "domains", "s", "suffix")},
 {_level_sql("h", "hosts", "d", "domain")},
-r AS (SELECT host, n, k, m, least(m + {Z} * sqrt(m * (1 - m) / (s + n + 1)), 1.0) AS u FROM h)
+r AS (SELECT host, n, k, m, least(m + {Z} * sqrt(var), 1.0) AS u FROM h)
 SELECT q.page_id, q.host, CASE WHEN q.host IS NOT NULL THEN q.domain END AS domain, CASE WHEN q.host IS NOT NULL THEN q.suffix END AS suffix,
   n AS labelled, k AS good, round(m, 6) AS posterior_mean, round(u, 6) AS upper_bound, coalesce(round(u, 6) >= {MIN_GOOD}, true) AS keep
 FROM q LEFT JOIN r ON q.host = r.host
