@@ -8,7 +8,7 @@ gradient descent (FISTA) with an L1 penalty on a bounded, stratified sample, who
 class counts of all labels.
 
 Cases: a null text has a null severity and isn't toxic; an empty text has no feature and the severity of the thresholds
-alone; whole texts of any length are read; repeated rows get equal scores; an empty table gives an empty result. With
+alone, by which no text is toxic; whole texts of any length are read; repeated rows get equal scores; an empty table gives an empty result. With
 no usable label of either class, no text has a severity and none is toxic. Other columns of the input don't matter.
 """
 
@@ -52,6 +52,10 @@ class OrdinalModel:
             z = np.bincount(key // len(self.words), weights=self.weights[key % len(self.words)] * (1 + np.log(tf)), minlength=n)
         return _sigmoid(z[:, None] - self.thresholds[None, :]).sum(1)
 
+    def toxic(self, severity: np.ndarray, reject_at: float) -> np.ndarray:
+        """Which severities reach reject_at by the text's own words: more than the thresholds alone give."""
+        return (severity >= reject_at) & (severity > _sigmoid(-self.thresholds).sum() + 1e-9)
+
     def _gate(self) -> np.ndarray:
         if not hasattr(self, "_bits"):
             self._bits = np.zeros(1 << 16, bool)
@@ -155,7 +159,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, reject_at: float = REJ
             null = text.is_null().to_numpy(zero_copy_only=False)
             s = m.score(text) if m else np.zeros(len(text))
             bad = null if m else np.ones(len(text), bool)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(s, 6), mask=bad), pa.array((s >= reject_at) & ~bad)], ["doc_id", "severity", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(s, 6), mask=bad), pa.array((m.toxic(s, reject_at) if m else bad) & ~bad)], ["doc_id", "severity", "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, severity double, toxic boolean")
 
@@ -171,7 +175,7 @@ def reject(docs: DataFrame, model: OrdinalModel | None, *, reject_at: float = RE
             return pa.array(np.ones(len(text), bool))
         for part in kernel.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
             s = m.score(part.column(0))
-            out.append((s < reject_at) | part.column(0).is_null().to_numpy(zero_copy_only=False))
+            out.append(~m.toxic(s, reject_at) | part.column(0).is_null().to_numpy(zero_copy_only=False))
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(clean(F.col("text")))
