@@ -12,13 +12,13 @@ from tesselar.operators import chunk, dense, evaluate, lexical, lsa, search
 from tesselar.operators.common import top
 from tesselar.operators.rerank import make_reranker
 from tesselar.plans import baselines
-from tesselar.server import search_one, serve
+from tesselar.server import HOST, PORT, search_one, serve
 from tesselar.session import importable
 from tesselar.sources import beir, files
 
 
 def _chunks(spark, args):
-    docs = files.read(spark, args.roots, max_files=args.max_files, exclude=tuple(args.exclude))
+    docs = files.read(spark, args.roots, exclude=tuple(args.exclude), max_files=args.max_files)
     made = chunk.numbered(chunk.chunk(docs, max_tokens=args.max_tokens, overlap=args.overlap, min_tokens=args.min_tokens))
     return made.select(F.col("id").alias("doc_id"), "title", "text", F.col("doc_id").alias("doc"), "project")
 
@@ -31,7 +31,8 @@ def index(spark, args) -> None:
 
 def find(spark, args) -> None:
     engine = search.load(spark, args.index)
-    hits = search_one(engine, args.query, k=args.k, mode=args.mode, alpha=args.alpha, candidates=args.candidates, reranker=make_reranker(args.rerank, terms=engine.index.terms()), rerank_depth=args.rerank_depth)
+    how = {n: getattr(args, n) for n in ("k", "mode", "alpha", "candidates", "rerank_depth")}
+    hits = search_one(engine, args.query, reranker=make_reranker(args.rerank, terms=engine.index.terms()), **how)
     if args.json:
         print(json.dumps(hits, ensure_ascii=False, indent=1))
         return
@@ -75,55 +76,41 @@ def benchmark(spark, args) -> None:
         evaluate.write_report(out, args.out)
 
 
+#: Options by command: name, default (its type is the option's), choices.
+_OPTIONS = {
+    "index": [("max-tokens", chunk.MAX_TOKENS), ("overlap", chunk.OVERLAP), ("min-tokens", chunk.MIN_TOKENS), ("dim", 256), ("embedder", "lsa", ("lsa", "none"))],
+    "search": [("mode", "rrf", search.MODES), ("k", 8), ("alpha", 0.5), ("candidates", 60), ("rerank", "none", ("none", "local")), ("rerank-depth", 25)],
+    "eval": [("n", 250), ("variant", "verbatim", evaluate.VARIANTS), ("seed", 0), ("dim", 256)],
+    "benchmark": [("dim", 256), ("depth", 1000)],
+    "serve": [("host", HOST), ("port", PORT)],
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesselar")
     sub = p.add_subparsers(required=True)
-    a = sub.add_parser("index")
-    a.add_argument("roots", nargs="+")
-    a.add_argument("--out", required=True)
-    a.add_argument("--embedder", choices=("lsa", "none"), default="lsa")
-    a.add_argument("--max-tokens", type=int, default=chunk.MAX_TOKENS)
-    a.add_argument("--overlap", type=int, default=chunk.OVERLAP)
-    a.add_argument("--min-tokens", type=int, default=chunk.MIN_TOKENS)
-    a.add_argument("--max-files", type=int)
-    a.add_argument("--exclude", action="append", default=[])
-    a.add_argument("--dim", type=int, default=256)
-    a.add_argument("--stem", action="store_true")
-    a.add_argument("--ann", action="store_true")
-    a.set_defaults(run=index)
-    a = sub.add_parser("search")
-    a.add_argument("index")
-    a.add_argument("query")
-    a.add_argument("-k", type=int, default=8)
-    a.add_argument("--mode", choices=search.MODES, default="rrf")
-    a.add_argument("--alpha", type=float, default=0.5)
-    a.add_argument("--candidates", type=int, default=60)
-    a.add_argument("--rerank", choices=("none", "local"), default="none")
-    a.add_argument("--rerank-depth", type=int, default=25)
-    a.add_argument("--json", action="store_true")
-    a.set_defaults(run=find)
-    a = sub.add_parser("eval")
-    a.add_argument("index")
-    a.add_argument("-n", type=int, default=250)
-    a.add_argument("--variant", choices=evaluate.VARIANTS, default="verbatim")
-    a.add_argument("--seed", type=int, default=0)
-    a.add_argument("--dim", type=int, default=256)
-    a.add_argument("--out")
-    a.set_defaults(run=run_eval)
-    a = sub.add_parser("benchmark")
-    a.add_argument("dataset", help="a name of the registry, or small")
-    a.add_argument("folder")
-    a.add_argument("--depth", type=int, default=1000)
-    a.add_argument("--max-docs", type=int)
-    a.add_argument("--dim", type=int, default=256)
-    a.add_argument("--stem", action="store_true")
-    a.add_argument("--out")
-    a.set_defaults(run=benchmark)
-    a = sub.add_parser("serve")
-    a.add_argument("index")
-    a.add_argument("--host", default="127.0.0.1")
-    a.add_argument("--port", type=int, default=8105)
-    a.set_defaults(run=lambda spark, args: serve(search.load(spark, args.index), args.host, args.port))
+    run = {"index": index, "search": find, "eval": run_eval, "benchmark": benchmark, "serve": lambda spark, args: serve(search.load(spark, args.index), args.host, args.port)}
+    takes = {"index": ["roots"], "search": ["index", "query"], "eval": ["index"], "benchmark": ["dataset", "folder"], "serve": ["index"]}
+    for name, action in run.items():
+        a = sub.add_parser(name)
+        for t in takes[name]:
+            a.add_argument(t, **({"nargs": "+"} if t == "roots" else {}))
+        for option, default, *choices in _OPTIONS[name]:
+            dashes = "-" if len(option) == 1 else "--"
+            a.add_argument(dashes + option, default=default, type=type(default), **({"choices": choices[0]} if choices else {}))
+        if name in ("index", "eval", "benchmark"):
+            a.add_argument("--out", required=name == "index")
+        if name in ("index", "benchmark"):
+            a.add_argument("--stem", action="store_true")
+        if name == "index":
+            a.add_argument("--max-files", type=int)
+            a.add_argument("--exclude", action="append", default=[])
+            a.add_argument("--ann", action="store_true")
+        if name == "benchmark":
+            a.add_argument("--max-docs", type=int)
+        if name == "search":
+            a.add_argument("--json", action="store_true")
+        a.set_defaults(run=action)
     return p
 
 

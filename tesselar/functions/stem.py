@@ -43,33 +43,29 @@ def stem(word: str) -> str:
     """The stem of a word in lower case."""
     if len(word) < 3:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith(("sses", "ies")):
         word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
+    elif word[-1] == "s" and word[-2] != "s":
         word = word[:-1]
 
     if word.endswith("eed"):
-        if measure(word[:-3]) > 0:
-            word = word[:-1]
+        word = word[:-1] if measure(word[:-3]) else word
     else:
         cut = next((word[: -len(s)] for s in ("ed", "ing") if word.endswith(s)), None)
         if cut is not None and "v" in _shape(cut):
-            word = cut
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif _double(word) and word[-1] not in "lsz":
-                word = word[:-1]
-            elif measure(word) == 1 and _short_end(word):
-                word += "e"
+            bare = _double(cut) and cut[-1] not in "lsz"
+            silent = cut[-2:] in ("at", "bl", "iz") or (not bare and measure(cut) == 1 and _short_end(cut))
+            word = cut + "e" if silent else cut[:-1] if bare else cut
 
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
+    head = word[:-1]
+    if word.endswith("y") and "v" in _shape(head):
+        word = head + "i"
 
     for table in (_STEP2, _STEP3):
         for suffix, to in table:
             if word.endswith(suffix):
-                if measure(word[: -len(suffix)]) > 0:
-                    word = word[: -len(suffix)] + to
+                rest = word.removesuffix(suffix)
+                word = rest + to if measure(rest) else word
                 break
 
     for suffix in _STEP4:
@@ -83,9 +79,7 @@ def stem(word: str) -> str:
         m = measure(word[:-1])
         if m > 1 or (m == 1 and not _short_end(word[:-1])):
             word = word[:-1]
-    if word.endswith("ll") and measure(word) > 1:
-        word = word[:-1]
-    return word
+    return word[:-1] if word.endswith("ll") and measure(word) > 1 else word
 
 
 @F.pandas_udf(StringType())

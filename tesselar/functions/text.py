@@ -16,8 +16,10 @@ STOPWORDS = tuple(
         "on of it its is into in if i his him her he have has from for by but been be at as are and an a".split()
     )
 )
-TOKEN = r"[a-z0-9]+(?:[._-][a-z0-9]+)*"
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(\[`])|\n{2,}"
+_RUN = "[a-z0-9]+"
+TOKEN = f"{_RUN}(?:[._-]{_RUN})*"
+_AFTER_STOP, _BEFORE_START = r"(?<=[.!?])", r"(?=[A-Z(\[`])"
+SENTENCE_END = rf"{_AFTER_STOP}\s+{_BEFORE_START}|\n{{2,}}"
 #: Marks of code and markup, which prose doesn't have.
 CODE_MARKS = ("});", "|---", "]:", "::", "==", "();", "/>", "</", "=>", "}", "{", "className", "function ", "import ", "let ", "const ")
 

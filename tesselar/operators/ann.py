@@ -21,14 +21,17 @@ from .dense import unit
 
 M, EF_BUILD, EF_SEARCH, SHARD_ROWS, LEAST_ROWS = 16, 200, 64, 4000, 256
 
+#: (distance, node), nearest first.
+Near = list[tuple[float, int]]
+
 
 class Graph:
     """A navigable small-world graph over unit vectors (Malkov and Yashunin); distance is 1 - cosine."""
 
     def __init__(self, vectors: np.ndarray, m: int = M, ef: int = EF_BUILD, seed: int = 0):
         self.x, self.m, self.ef = unit(np.asarray(vectors, np.float64)), m, ef
-        self.links: list[dict[int, list[int]]] = []
         self.entry = -1
+        self.links: list[dict] = []
         self.rng = np.random.default_rng(seed)
 
     def build(self) -> Graph:
@@ -40,7 +43,7 @@ class Graph:
     def _far(self, q: np.ndarray, ids: list[int]) -> np.ndarray:
         return 1 - self.x[ids] @ q
 
-    def _beam(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, level: int) -> list[tuple[float, int]]:
+    def _beam(self, q: np.ndarray, starts: Near, ef: int, level: int) -> Near:
         """The ef nearest found on a level from starts, nearest first."""
         seen = {i for _, i in starts}
         todo = list(starts)
@@ -62,7 +65,7 @@ class Graph:
                         heapq.heappop(kept)
         return sorted((-d, i) for d, i in kept)
 
-    def _choose(self, near: list[tuple[float, int]], most: int) -> list[int]:
+    def _choose(self, near: Near, most: int) -> list[int]:
         """Neighbours that lie nearer to the new node than to one another; nearest others fill up."""
         picked: list[int] = []
         for d, i in near:
@@ -97,7 +100,7 @@ class Graph:
             self.links += [{i: []} for _ in range(level - height)]
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int) -> Near:
         if self.entry < 0:
             return []
         at = [(float(1 - self.x[self.entry] @ q), self.entry)]

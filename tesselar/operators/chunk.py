@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from tesselar.functions import plain
 
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 320, 60, 20
-_HEADING = re.compile(r"(#{1,6})\s+(.*)$")
+_HEADING = re.compile("(#{1,6})" + r"\s+" + "(.*)$")
 _BLANK = re.compile(r"\n\s*\n")
 
 
-def sections(text: str) -> list[tuple[str, str, int]]:
+def sections(text: str) -> list[tuple]:
     """(trail of headings, body, line of the heading) of every section that isn't blank; text before any heading is one."""
     out, trail, body, begin, fenced = [], [], [], 1, False
     for n, line in enumerate(text.splitlines(), 1):
-        if line.lstrip().startswith("```"):
+        if line.lstrip()[:3] == "`" * 3:
             fenced = not fenced
         found = None if fenced else _HEADING.match(line)
         if found is None:

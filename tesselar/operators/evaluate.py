@@ -14,6 +14,9 @@ from . import fusion, metrics
 from .common import ranked, spread, top
 from .lexical import LexicalIndex
 
+MODES = tuple("bm25 vector rrf hybrid".split())
+#: The grid of BM25 parameters.
+K1S, BS = ([float(x) for x in g.split()] for g in ("0.6 0.9 1.2 1.5 1.8", "0.3 0.4 0.6 0.75 0.9"))
 VARIANTS = ("verbatim", "hard", "keyword")
 
 
@@ -45,14 +48,14 @@ def _words_of(sentence: Column, variant: str, seed: int, drop_rate: float) -> Co
     return F.split(T.clean_query(sentence), " ")
 
 
-def ict_queries(chunks: DataFrame, *, n: int | None = 200, variant: str = "verbatim", seed: int | None = 0, drop_rate: float = 0.45, keywords: int = 3, min_words: int = 10) -> DataFrame:
+def ict_queries(chunks: DataFrame, *, n: int | None = 200, variant: str = "verbatim", min_words: int = 10, keywords: int = 3, seed: int | None = 0, drop_rate: float = 0.45) -> DataFrame:
     """(qid, text, target, sentence, variant): queries made of a sentence of the document they should find.
 
     verbatim cleans the sentence, hard drops a share of its content words and shuffles the rest, keyword keeps the
     most informative ones. Queries of fewer than three words are left out; n draws that many by digest, None keeps all.
     """
     if variant not in VARIANTS:
-        raise ValueError(f"unknown variant: {variant!r}")
+        raise ValueError(f"variant is one of {VARIANTS}, not {variant!r}")
     chosen = pick(eligible_sentences(chunks, min_words=min_words), seed=seed)
     if variant == "keyword":
         words = chosen.select("doc_id", F.explode(F.array_distinct(T.content_words(F.col("sentence")))).alias("term"))
@@ -95,7 +98,7 @@ def target_ranks(run: DataFrame, queries: DataFrame, groups: DataFrame | None =
     return wanted.select("qid").join(exact, "qid", "left").join(near, "qid", "left")
 
 
-def modes(lexical: DataFrame, semantic: DataFrame, *, alphas: list[float], depth: int, normaliser: str = "minmax", which: tuple[str, ...] = ("bm25", "vector", "rrf", "hybrid")) -> dict[str, DataFrame]:
+def modes(lexical: DataFrame, semantic: DataFrame, *, alphas: list[float], depth: int, normaliser: str = "minmax", which: tuple[str, ...] = MODES) -> dict[str, DataFrame]:
     """Ranked runs (qid, doc_id, score, rank) by name, from full scores of both legs, which are reused across modes."""
     lex, sem = top(lexical, depth), top(semantic, depth)
     out = {}
@@ -112,7 +115,7 @@ def modes(lexical: DataFrame, semantic: DataFrame, *, alphas: list[float], depth
     return out
 
 
-def ablation(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, *, groups: DataFrame | None = None, alphas: tuple[float, ...] = (0.3, 0.5, 0.7), depth: int = 50) -> DataFrame:
+def ablation(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, *, groups: DataFrame | None = None, depth: int = 50, alphas: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
     """(system, n, recall_at_1, .., mrr, ndcg, doc_recall_10) of every mode on queries with one target each."""
     runs = modes(lexical, semantic, alphas=list(alphas), depth=depth)
     return reduce(DataFrame.unionByName, [metrics.single_target(target_ranks(run, queries, groups)).withColumn("system", F.lit(name)) for name, run in runs.items()])
@@ -149,7 +152,7 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.round("ndcg", 9).desc(), F.col("alpha").asc()).limit(1)
 
 
-def param_grid(index: LexicalIndex, queries: DataFrame, qrels: DataFrame, *, k1s=(0.6, 0.9, 1.2, 1.5, 1.8), bs=(0.3, 0.4, 0.6, 0.75, 0.9), depth: int = 100) -> DataFrame:
+def param_grid(index: LexicalIndex, queries: DataFrame, qrels: DataFrame, *, k1s=K1S, bs=BS, depth: int = 100) -> DataFrame:
     """(k1, b, ndcg) at 10 over the grid, all settings from one pass over the postings."""
     scored = index.score_grid(queries, [(k, b) for k in k1s for b in bs])
     name = lambda q: F.concat_ws("|", F.col("k1"), F.col("b"), q.cast("string"))

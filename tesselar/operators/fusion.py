@@ -14,7 +14,7 @@ from .common import ranked
 K_RRF = 60
 
 
-def rrf(legs: dict[str, DataFrame], *, k: int = K_RRF, weights: dict[str, float] | None = None, limit: int = 50) -> DataFrame:
+def rrf(legs: dict[str, DataFrame], *, limit: int = 50, k: int = K_RRF, weights: dict[str, float] | None = None) -> DataFrame:
     """(qid, doc_id, score, rank, parts): reciprocal rank fusion of legs (qid, doc_id, rank).
 
     A document scores the sum over legs of weight / (k + rank); ties go by the rank in the first leg, then the next.

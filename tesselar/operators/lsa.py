@@ -28,12 +28,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, *, min_df: int = 2, max_df_ratio: float = 0.5, max_features: int = 40_000) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: int, *, max_features: int = 40_000, max_df_ratio: float = 0.5, min_df: int = 2) -> DataFrame:
     """(term, df, idf): terms in min_df to max_df_ratio of the documents, the most frequent first, ties by the term."""
     most = max(int(max_df_ratio * n_docs), 1)
     kept = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, most))
     best = kept.orderBy(F.col("df").desc(), F.col("term").asc()).limit(max_features)
-    return best.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    return best.select("term", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
     return np.concatenate([got[b] for b in sorted(got)]) if got else np.zeros((v, k))
 
 
-def decompose(rows: DataFrame, n_terms: int, rank: int, *, power: int = 4, oversample: int = 12, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def decompose(rows: DataFrame, n_terms: int, rank: int, *, seed: int = 0, oversample: int = 12, power: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(components (terms, rank), singular values) of the sparse rows, by randomised subspace iteration."""
     width = min(rank + oversample, n_terms)
     x, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))
@@ -173,7 +173,7 @@ def sparse(weights: DataFrame, terms: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(row.alias("r")).select("doc_id", F.col("r.term_id").alias("at"), F.col("r.weight").alias("w"))
 
 
-def fit(docs: DataFrame, *, dim: int = 256, min_df: int = 2, max_df_ratio: float = 0.5, max_features: int = 40_000, seed: int = 0, power: int = 4) -> Lsa:
+def fit(docs: DataFrame, *, dim: int = 256, seed: int = 0, power: int = 4, max_features: int = 40_000, max_df_ratio: float = 0.5, min_df: int = 2) -> Lsa:
     """The model of docs (doc_id, text): min(dim, documents - 1, terms - 1) dimensions, 2 at least where there are terms."""
     counts = term_counts(docs).persist(StorageLevel.MEMORY_AND_DISK)
     n = docs.count()

@@ -128,22 +128,16 @@ class LocalReranker:
 JUDGE_GUIDE = """You judge how well passages answer a query. Give every passage a whole number from 0 to 10:
 10 answers it fully and directly, 7 mostly, 4 is related but leaves the question open, 0 has nothing to do with it.
 Judge what a passage says, not how it is written. Give one sentence of reason for each."""
-JUDGE_SCHEMA = {
-    "type": "object",
-    "required": ["verdicts"],
-    "additionalProperties": False,
-    "properties": {
-        "verdicts": {
-            "type": "array",
-            "items": {
-                "type": "object",
-                "additionalProperties": False,
-                "required": ["index", "relevance", "reason"],
-                "properties": {"index": {"type": "integer"}, "relevance": {"type": "integer"}, "reason": {"type": "string"}},
-            },
-        }
-    },
-}
+
+
+def _record(**fields) -> dict:
+    """The JSON schema of an object with just these fields."""
+    return {"additionalProperties": False, "required": list(fields), "properties": fields, "type": "object"}
+
+
+_VERDICT = _record(**{f: dict(type="integer") for f in ("index", "relevance")}, reason=dict(type="string"))
+JUDGE_SCHEMA = _record(verdicts=dict(items=_VERDICT, type="array"))
+
 
 
 class JudgeReranker:

@@ -16,7 +16,7 @@ from . import ann, dense, fusion, lexical, lsa
 from .common import top
 from .rerank import Reranker
 
-MODES = ("bm25", "vector", "rrf", "hybrid")
+MODES = tuple("bm25 vector rrf hybrid".split())
 
 
 class Embedder(Protocol):
@@ -110,15 +110,15 @@ class Engine:
         self,
         queries: DataFrame,
         *,
-        k: int = 10,
         mode: str = "rrf",
-        alpha: float = 0.5,
+        k: int = 10,
         candidates: int = 60,
+        alpha: float = 0.5,
+        query_vectors: DataFrame | None = None,
+        use_ann: bool | None = None,
+        ef: int = 96,
         reranker: Reranker | None = None,
         rerank_depth: int = 25,
-        ef: int = 96,
-        use_ann: bool | None = None,
-        query_vectors: DataFrame | None = None,
         explain: bool = True,
     ) -> DataFrame:
         """The k best hits of each of queries (qid, text), with the trace of their scores.
@@ -127,7 +127,7 @@ class Engine:
         and with explain: snippet, terms). Documents that no term and no vector nominates aren't hits.
         """
         if mode not in MODES:
-            raise ValueError(f"unknown mode: {mode!r}")
+            raise ValueError(f"mode is one of {MODES}, not {mode!r}")
         use_ann = self.graph is not None if use_ann is None else use_ann
         lex, semantic, lex_top, sem_top, zero = self.legs(queries, query_vectors=query_vectors, candidates=candidates, use_ann=use_ann, ef=ef, need_semantic=mode != "bm25")
         none = F.lit(None).cast("map<string,double>")

@@ -36,7 +36,8 @@ webis-touche2020 .367 .367 .442 -
 ROWS = [(f[0], s, float(v)) for f in map(str.split, _TABLE.strip().splitlines()) for s, v in zip(SOURCES, f[1:]) if v != "-"]
 
 
-def published(dataset: str, source: str = PRIMARY) -> float | None:
+def published(dataset: str, source: str = PRIMARY):
+    """The value of a source, or None."""
     return next((v for d, s, v in ROWS if (d, s) == (dataset, source)), None)
 
 

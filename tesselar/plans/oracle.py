@@ -62,7 +62,7 @@ df AS (SELECT term, count(*) AS df FROM pos GROUP BY term)"""
 def bm25(k1: str = "1.5", b: str = "0.75", extra: str = "", grid: str = "") -> str:
     """bm: (qid, doc_id, score) of all documents with a term of the query, after tok_d, tok_q and POSTINGS."""
     keys = "qid, doc_id" + (f", {extra}" if extra else "")
-    w = f"ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / a))"
+    w = f"ln(1 + (n - df + 0.5) / (0.5 + df)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / a))"
     return f"""
 qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(toks) AS term FROM tok_q)),
 parts AS (SELECT {keys}, term, {w} AS contrib FROM qt JOIN pos USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st{grid}),

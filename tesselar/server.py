@@ -10,6 +10,7 @@ from urllib.parse import parse_qs, urlparse
 from tesselar.operators.rerank import make_reranker
 from tesselar.operators.search import Engine
 
+HOST, PORT = "127.0.0.1", 8105
 _PAGE = """<!doctype html><meta charset=utf-8><title>Search</title><form action=/api/search><input name=q autofocus> <button>Search</button></form>"""
 
 
@@ -30,15 +31,15 @@ def search_one(engine: Engine, text: str, **how) -> list[dict]:
     return [present(r) for r in hits.orderBy("rank").collect()]
 
 
-def make_server(engine: Engine, host: str = "127.0.0.1", port: int = 8105) -> ThreadingHTTPServer:
+def make_server(engine: Engine, host: str = HOST, port: int = PORT) -> ThreadingHTTPServer:
     meta = {"documents": engine.chunks.select("doc").distinct().count(), "chunks": engine.chunks.count(), "embedder": engine.embedder.name if engine.embedder else None, "graph": engine.graph is not None}
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body, kind: str = "application/json") -> None:
             data = body.encode() if isinstance(body, str) else json.dumps(body).encode()
             self.send_response(status)
-            self.send_header("Content-Type", f"{kind}; charset=utf-8")
-            self.send_header("Content-Length", str(len(data)))
+            for name, value in (("Content-Length", len(data)), ("Content-Type", f"{kind}; charset=utf-8")):
+                self.send_header(name, str(value))
             self.end_headers()
             self.wfile.write(data)
 
@@ -67,7 +68,7 @@ def make_server(engine: Engine, host: str = "127.0.0.1", port: int = 8105) -> Th
     return ThreadingHTTPServer((host, port), Handler)
 
 
-def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8105) -> None:
+def serve(engine: Engine, host: str = HOST, port: int = PORT) -> None:
     """Serve until interrupted."""
     server = make_server(engine, host, port)
     try:

@@ -79,7 +79,7 @@ def load(spark: SparkSession, name: str, folder: str, *, split: str | None = Non
     max_docs takes the first documents by identifier, their judgements, and the queries that keep a relevant one.
     """
     if name not in REGISTRY:
-        raise KeyError(f"unknown dataset: {name!r}")
+        raise KeyError(f"{name!r} is no dataset of the registry")
     spec = REGISTRY[name]
     documents = read_jsonl(spark, f"{folder}/corpus.jsonl", "_id string, title string, text string")
     documents = documents.select(F.col("_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))

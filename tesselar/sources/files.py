@@ -13,7 +13,7 @@ EXTENSIONS = ("md", "markdown", "mdx", "txt")
 SKIP_DIRS = ("__pycache__", "build", "dist", "node_modules", "site-packages", "venv", "Library")
 
 
-def read(spark: SparkSession, roots: list[str], *, extensions: tuple[str, ...] = EXTENSIONS, max_files: int | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+def read(spark: SparkSession, roots: list[str], *, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = EXTENSIONS, max_files: int | None = None) -> DataFrame:
     """(doc_id, project, title, text) of the text files under roots (folders or single files).
 
     Hidden folders and SKIP_DIRS aren't entered; exclude holds parts of paths, whatever their case. Bytes that aren't

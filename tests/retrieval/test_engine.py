@@ -40,7 +40,7 @@ def brute_bm25(query, texts, k1=1.5, b=0.75):
         for w in set(plain.tokens(query)):
             df, tf = sum(w in x for x in toks), t.count(w)
             if tf:
-                s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / avg))
+                s += math.log(1 + (n - df + 0.5) / (0.5 + df)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / avg))
         if s:
             out[i] = s
     return out
@@ -98,7 +98,7 @@ def test_rrf(spark):
 
 
 def test_weighted_extremes(spark):
-    pool = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(zip([0.0, 9.0, 1.0, 0.0], [9.0, 0.0, 1.0, 0.0]))], "qid long, doc_id long, lexical double, semantic double")
+    pool = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(0.0, 9.0), (9.0, 0.0), (1.0, 1.0), (0.0, 0.0)])], "qid long, doc_id long, lexical double, semantic double")
     best = lambda a, n="minmax": fusion.weighted(pool, alpha=a, normaliser=n).where("rank = 1").first().doc_id
     assert (best(0.0), best(1.0), best(0.0, "zscore")) == (1, 0, 1)
     flat = pool.withColumn("lexical", F.lit(3.0)).withColumn("semantic", F.lit(0.1))

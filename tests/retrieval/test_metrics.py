@@ -8,6 +8,10 @@ from tesselar.operators import metrics
 QRELS, RUN = "qid string, doc_id string, rel int", "qid string, doc_id string, score double"
 
 
+def close(x):
+    return pytest.approx(x, abs=1e-4)
+
+
 def value(spark, qrels, ranking, k, metric):
     q = spark.createDataFrame([("q", d, r) for d, r in qrels.items()], QRELS)
     run = spark.createDataFrame([("q", d, float(-i)) for i, d in enumerate(ranking)], RUN)
@@ -15,14 +19,14 @@ def value(spark, qrels, ranking, k, metric):
 
 
 def test_worked_by_hand(spark):
-    binary, ranking = {"d1": 1, "d2": 1, "d3": 1}, ["d1", "x1", "d2", "x2", "d3"]
-    assert value(spark, binary, ranking, 10, "ndcg") == pytest.approx(0.8854, abs=1e-4)
+    binary, ranking = dict.fromkeys(("d1", "d2", "d3"), 1), "d1 x1 d2 x2 d3".split()
+    assert value(spark, binary, ranking, 10, "ndcg") == close(0.8854)
     assert value(spark, binary, ranking, 10, "map") == pytest.approx((1 + 2 / 3 + 3 / 5) / 3)
     assert value(spark, binary, ranking, 10, "precision") == pytest.approx(0.3)
     assert value(spark, binary, ["x", "d3"], 10, "mrr") == 0.5
     # Gains are linear, and the ideal counts all judgements, retrieved or not.
-    assert value(spark, {"a": 2, "b": 1, "c": 2, "d": 0}, ["b", "d", "a"], 10, "ndcg") == pytest.approx(0.5317, abs=1e-4)
-    assert value(spark, {f"r{i}": 1 for i in range(10)}, ["r0"], 10, "ndcg") == pytest.approx(0.2201, abs=1e-4)
+    assert value(spark, dict(zip("abcd", (2, 1, 2, 0))), list("bda"), 10, "ndcg") == close(0.5317)
+    assert value(spark, {f"r{i}": 1 for i in range(10)}, ["r0"], 10, "ndcg") == close(0.2201)
 
 
 def test_ties_go_by_name_descending(spark):

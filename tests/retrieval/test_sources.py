@@ -33,7 +33,7 @@ def test_files(spark, tmp_path):
 
 def benchmark(folder, qrels="query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td2\t0\nq2\td5\t2.0\nq2\td5\t1\nq2\tbad\tx\nshort\n"):
     (folder / "qrels").mkdir(parents=True)
-    (folder / "corpus.jsonl").write_text("\n".join(json.dumps({"_id": f"d{i}", "title": f"T{i}", "text": f"text number w{i} of many"}) for i in range(1, 6)) + "\n\n")
+    (folder / "corpus.jsonl").write_text("\n".join(json.dumps(dict(_id=f"d{i}", text=f"text number w{i} of many", title=f"T{i}")) for i in range(1, 6)) + "\n\n")
     (folder / "queries.jsonl").write_text("\n".join(json.dumps({"_id": q, "text": t}) for q, t in (("q1", "w1"), ("q2", "w5"), ("q3", "none"))))
     (folder / "qrels" / "test.tsv").write_text(qrels)
     return str(folder)
