@@ -214,7 +214,7 @@ def test_engine_modes_and_fallback(spark, docs, queries, tmp_path):
     engine.save(str(tmp_path))
     engine = search.load(spark, str(tmp_path))
     for mode in search.MODES:
-        hits = engine.search(queries, mode=mode, k=3).collect()
+        hits = engine.search(queries, mode=mode, k=3, explain=False).collect()
         assert {r.qid for r in hits} <= {1, 2} and {r.doc_id for r in hits if r.qid == 1 and r.rank == 1} <= {1, 4}
     zero = spark.createDataFrame([(1, [0.0] * 4), (2, [0.0] * 4)], "qid long, vec array<double>")
     hits = engine.search(queries, mode="hybrid", k=3, query_vectors=zero).collect()
