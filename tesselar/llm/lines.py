@@ -1,6 +1,8 @@
 """Line deduplication within one edit by a deletion-neighbourhood join.
 
-Lines of at least `MIN_CHARS` characters are compared over the whole corpus. Two lines are within `BOUND` edits only if
+All lines but blank ones (nothing or only white space) are compared over the whole corpus: for equality whatever their
+length, and within an edit from `NEAR_CHARS` characters on. In shorter lines one edit makes another word ("Die.", "Que."
+and "Qui."), so equality is all that tells them to be the same. Two lines are within `BOUND` edits only if
 a deletion variant of one (up to `BOUND` characters taken out, or none) equals one of the other. All variants are
 emitted as hashed keys, equal keys are joined, and the edit distance of what they join is verified. A line goes if an
 earlier line, by (doc_id, line number), is within the bound, and it names the earliest such line: an equal one, or one
@@ -11,8 +13,8 @@ before: one edit lies within one of q segments, so two lines within it also agre
 of both (one character more of the longer line). Lines that share no such key at q = 2 and then at q = `FINE` have no
 partner and emit no variants. The filters drop no pair within the bound; a bound of 2 or more goes without them.
 
-Cases: a null or empty text has no lines; lines are cut at line feeds and read whole, whatever their length; lines
-below `MIN_CHARS` stay; ties can't occur but among rows that repeat an identifier, which keep and lose lines alike; a
+Cases: a null or empty text has no lines; lines are cut at line feeds and read whole, whatever their length; blank
+lines stay; ties can't occur but among rows that repeat an identifier, which keep and lose lines alike; a
 null identifier orders last; an empty table gives an empty result; other columns of the input don't matter.
 """
 
@@ -27,7 +29,8 @@ from . import kernel
 from .links import shared_keys
 from .shared import checkpointed, in_keys, table
 
-MIN_CHARS = 24
+MIN_CHARS = 1
+NEAR_CHARS = 12
 BOUND = 1
 FINE = 16
 
@@ -68,7 +71,7 @@ def variants(line: str, bound: int = BOUND) -> np.ndarray:
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line) of all lines that are compared; line numbers count from 0."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return cut.where(F.length("line") >= min_chars)
+    return cut.where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
 
 
 def _place() -> Column:
@@ -109,24 +112,30 @@ def near_pairs(distinct: DataFrame, bound: int = BOUND) -> DataFrame:
     return one.union(found.select(F.col("other").alias("h"), F.col("doc_id").alias("other"), F.col("line_b"), F.col("line_a"), "distance"))
 
 
-def find(docs: DataFrame, *, min_chars: int = MIN_CHARS, bound: int = BOUND) -> DataFrame:
-    """(doc_id, line_no, keep_doc_id, keep_line_no, distance) of every line that goes."""
+def find(docs: DataFrame, *, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, bound: int = BOUND) -> DataFrame:
+    """(doc_id, line_no, keep_doc_id, keep_line_no, distance) of every line that goes.
+
+    Lines of min_chars or more go if they equal an earlier one, lines of near_chars or more also if they're within the bound.
+    """
     all_lines = lines(docs, min_chars)
     h, g, n = F.xxhash64("line"), F.xxhash64(F.lit("second"), F.col("line")), F.length("line")
     info = [h.alias("h"), g.alias("g"), _place().alias("place")]
     if bound == 1:
         half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
         info.append(
-            F.array(
-                F.xxhash64(F.lit(0), n, F.substring(F.col("line"), F.lit(1), half)),
-                F.xxhash64(F.lit(1), n, F.substring(F.col("line"), half + 1, n)),
-                F.xxhash64(F.lit(0), n - 1, F.substring(F.col("line"), F.lit(1), less)),
-                F.xxhash64(F.lit(1), n - 1, F.substring(F.col("line"), less + 2, n)),
+            F.when(
+                n >= near_chars,
+                F.array(
+                    F.xxhash64(F.lit(0), n, F.substring(F.col("line"), F.lit(1), half)),
+                    F.xxhash64(F.lit(1), n, F.substring(F.col("line"), half + 1, n)),
+                    F.xxhash64(F.lit(0), n - 1, F.substring(F.col("line"), F.lit(1), less)),
+                    F.xxhash64(F.lit(1), n - 1, F.substring(F.col("line"), less + 2, n)),
+                ),
             ).alias("halves")
         )
     rows = all_lines.select(*info)
     by_line = checkpointed(rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"), *([F.first("halves").alias("halves")] if bound == 1 else [])))
-    texts = all_lines.select(h.alias("h"), g.alias("g"), "line")
+    texts = all_lines.where(n >= near_chars).select(h.alias("h"), g.alias("g"), "line")
     if bound == 1:
         coarse = checkpointed(shared_keys(by_line.select(F.explode("halves").alias("key"), F.col("h").alias("doc_id"))).select("doc_id").distinct())
         texts = in_keys(texts, F.col("h"), coarse)

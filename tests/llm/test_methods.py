@@ -123,6 +123,12 @@ def test_lines_against_brute_force(spark):
     assert got == want and any(x[4] for x in want)
 
 
+def test_short_lines_go_when_they_repeat(spark):
+    docs = [(0, "Les.\nAll rights reserved.\n\n  \nQue."), (1, "Les.\nAll right reserved.\n\n  \nQui."), (2, "x\nQui.\nWith, to to."), (3, "With to to.\nx")]
+    got = {tuple(x) for x in lines.find(frame(spark, docs)).collect()}
+    assert got == {(1, 0, 0, 0, 0), (1, 1, 0, 1, 1), (2, 1, 1, 4, 0), (3, 1, 2, 0, 0)}
+
+
 def test_deletion_variants():
     assert len(lines.variants("abc")) == 4 and len(lines.variants("aab")) == 3
     shared = lambda a, b, k: set(lines.variants(a, k).tolist()) & set(lines.variants(b, k).tolist())
