@@ -201,6 +201,23 @@ def test_fingerprint_links_against_brute_force(spark, near):
     assert all((min(r.doc_id, r.linked_id), max(r.doc_id, r.linked_id)) in pairs or r.score == 100 for r in got if r.linked_id is not None)
 
 
+def test_fingerprint_links_short_texts(spark):
+    """Short texts that are near copies by their word pairs are linked, equal ones without a window too, and others aren't."""
+    r, rows = random.Random(4), [(0, "one"), (1, "one"), (2, ""), (3, ""), (4, "two")]
+    for seed in range(40):
+        words = prose(5000 + seed, 5 + seed).split()
+        rows.append((10 + 2 * seed, " ".join(words)))
+        words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        rows.append((11 + 2 * seed, " ".join(words)))
+    got = {x.doc_id: x for x in fingerprint.fingerprint(frame(spark, rows)).collect()}
+    assert (got[1].linked_id, got[1].score, got[2].linked_id, got[4].linked_id) == (0, 100, 3, None)
+    pairs = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows[5:]}
+    alike = [(i, i + 1) for i in range(10, 90, 2) if jaccard(pairs[i], pairs[i + 1]) >= 0.6]
+    few = [p for p in alike if min(got[i].n_features for i in p) < fingerprint.MIN_FEATURES]
+    assert len(few) >= 20 and sum(got[a].linked_id == b for a, b in few) >= 0.9 * len(few)
+    assert all(jaccard(pairs[i], pairs[got[i].linked_id]) >= 0.2 for i in pairs if got[i].linked_id is not None)
+
+
 def test_shards_keep_links_and_sizes(spark, near):
     docs = frame(spark, near)
     got = shards.assign(docs, shards=5)
