@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -9,6 +10,7 @@ from tesselar.functions import plain
 from tesselar.functions import vectors as V
 from tesselar.operators import ann, chunk, dense, evaluate, fusion, lexical, lsa, rerank, search
 from tesselar.operators.common import top
+from tesselar.plans import catalog
 
 TEXTS = [
     "The cat sat on the warm mat near the window and slept through the long afternoon.",
@@ -240,3 +242,7 @@ def test_masking_takes_the_sentence_out(spark):
 def test_vector_functions(spark):
     r = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(V.norm(F.col("v")).alias("n"), V.is_zero(F.col("v")).alias("z"), V.l2_normalise(F.col("v")).alias("u")).collect()
     assert (r[0].n, r[0].z, r[0].u) == (5.0, False, [0.6, 0.8]) and r[1].z and r[1].u == [0.0, 0.0]
+
+
+def test_registered_lsa_has_the_default_dimensions():
+    assert {catalog.LSA_DIM} == {inspect.signature(f).parameters["dim"].default for f in (lsa.fit, search.build)}
