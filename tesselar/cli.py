@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.operators import chunk, dense, evaluate, lexical, lsa, search
-from tesselar.operators.common import top
 from tesselar.operators.rerank import make_reranker
 from tesselar.plans import baselines
 from tesselar.server import HOST, PORT, search_one, serve
@@ -64,7 +63,8 @@ def benchmark(spark, args) -> None:
         model = lsa.fit(docs, dim=args.dim)
         v = model.embed_documents(docs).join(keys, "doc_id").select(F.col("id").alias("doc_id"), "vec")
         qv = model.embed_queries(queries.select("qid", "text")).join(queries.select("qid", "id"), "qid").select(F.col("id").alias("qid"), "vec")
-        raw = top(dense.score(v, qv, k=args.depth), args.depth).select(F.col("qid").alias("q"), F.col("doc_id").alias("d"), "score")
+        numbered = lex.join(queries.select("qid", F.col("id").alias("q")), "qid").join(keys, "doc_id").select(F.col("q").alias("qid"), F.col("id").alias("doc_id"), "score")
+        raw = evaluate.semantic_leg(numbered, v, qv, depth=args.depth).select(F.col("qid").alias("q"), F.col("doc_id").alias("d"), "score")
         sem = raw.join(keys, raw.d == keys.id).drop("id").join(queries.select("qid", "id"), F.col("q") == F.col("id")).select("qid", "doc_id", "score")
         reports = evaluate.run_dataset(data.qrels, lex, sem, depth=args.depth, self_matches=not data.drops_self_matches)
         at10 = reports["means"].where("k = 10").persist()

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import text as T
+from tesselar.functions import vectors as V
 
-from . import fusion, metrics
+from . import dense, fusion, metrics
 from .common import ranked, spread, top
 from .lexical import LexicalIndex
 
@@ -98,6 +99,14 @@ def target_ranks(run: DataFrame, queries: DataFrame, groups: DataFrame | None =
     return wanted.select("qid").join(exact, "qid", "left").join(near, "qid", "left")
 
 
+def semantic_leg(lexical: DataFrame, vectors: DataFrame, query_vectors: DataFrame, *, depth: int) -> DataFrame:
+    """(qid, doc_id, score): the cosines of all that either leg nominates down to depth; where a query has no vector, its lexical scores."""
+    some = query_vectors.where(~V.is_zero(F.col("vec")))
+    pool = fusion.pool(top(lexical, depth), dense.search(vectors, some, k=depth)).join(some.select("qid"), "qid", "left_semi")
+    known = dense.score_pairs(pool, vectors, some).where("semantic IS NOT NULL").select("qid", "doc_id", F.col("semantic").alias("score"))
+    return known.unionByName(lexical.join(some.select("qid"), "qid", "left_anti").select("qid", "doc_id", "score"))
+
+
 def modes(lexical: DataFrame, semantic: DataFrame, *, alphas: list[float], depth: int, normaliser: str = "minmax", which: tuple[str, ...] = MODES) -> dict[str, DataFrame]:
     """Ranked runs (qid, doc_id, score, rank) by name, from full scores of both legs, which are reused across modes."""
     lex, sem = top(lexical, depth), top(semantic, depth)

@@ -246,3 +246,13 @@ def test_vector_functions(spark):
 
 def test_registered_lsa_has_the_default_dimensions():
     assert {catalog.LSA_DIM} == {inspect.signature(f).parameters["dim"].default for f in (lsa.fit, search.build)}
+
+
+def test_semantic_leg_scores_what_only_terms_nominate(spark):
+    lex = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0), (2, 11, 3.0)], "qid long, doc_id long, score double")
+    v = spark.createDataFrame([(10, [0.6, 0.8]), (11, [0.0, 1.0]), (12, [1.0, 0.0])], "doc_id long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "qid long, vec array<double>")
+    sem = evaluate.semantic_leg(lex, v, q, depth=1)
+    assert sorted((r.qid, r.doc_id, round(r.score, 9)) for r in sem.collect()) == [(1, 10, 0.6), (1, 12, 1.0), (2, 11, 3.0)]
+    runs = evaluate.modes(lex, sem, alphas=[0.5], depth=1, which=("vector",))
+    assert sorted((r.qid, r.doc_id) for r in runs["vector"].collect()) == [(1, 12), (2, 11)]
