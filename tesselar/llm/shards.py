@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation.
 
-Documents are linked by the lines they share: a line (of `MIN_CHARS` characters or more) of n documents links each two
+Documents are linked by the lines they share: a line (any but a blank one) of n documents links each two
 of them with a weight of 1 / (n - 1), so that very common lines tell little. Links are never laid out as pairs: a line
 counts its documents by shard, and a document weighs the shards by the counts of its lines, less itself. This is the
 exact vote of all its neighbours, whatever n.
@@ -29,13 +29,13 @@ from .shared import checkpointed, table
 SHARDS = 16
 ROUNDS = 8
 STILL = 0.002
-MIN_CHARS = 24
+MIN_CHARS = 1
 _BINS = 4096
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(line, doc_id, n): the lines, by hash, that more than one document has, with how many have them."""
-    cut = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= min_chars)
+    cut = F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) >= min_chars) & x.rlike(r"\S"))
     each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))).alias("key"))
     several = shared_keys(each).distinct()
     return several.select(F.col("key").alias("line"), "doc_id", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")

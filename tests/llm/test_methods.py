@@ -228,6 +228,11 @@ def test_shards_keep_links_and_sizes(spark, near):
     assert own.weight == by_hash.weight and own.cut_weight < 0.5 * by_hash.cut_weight
 
 
+def test_short_lines_link_documents(spark):
+    docs = frame(spark, [(0, "Les.\n\n  "), (1, "Les.\n\n  "), (2, "other\n\n  ")])
+    assert sorted((r.doc_id, r.n) for r in shards.shared_lines(docs).collect()) == [(0, 2), (1, 2)]
+
+
 def test_shard_quotas():
     assert shards.quotas({(0, 1): 5, (1, 0): 3}, [10, 10], 11) == {(0, 1): 4, (1, 0): 3}
     assert sum(shards.targets(10, [5, 0, 0])) == 10 and shards.targets(10, [4, 0, 0])[0] == 4
