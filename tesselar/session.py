@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,7 +33,40 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return importable(spark)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in spark.checkpoint.dir.
+
+    Only a local session that has none gets a temporary one.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if where is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        where = sc._jsc.sc().getCheckpointDir().get()
+    if where is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tesselar-checkpoint-")
+        sc.setCheckpointDir(where)
+    return where
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it's there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
