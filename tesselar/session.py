@@ -57,13 +57,21 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage."""
+def checkpointed(df: DataFrame, *, loop: bool = False) -> DataFrame:
+    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage.
+
+    A checkpoint keeps its plan's estimate of size, and joins multiply estimates: in a loop their digits would grow
+    without end, until planning took longer than the work. With loop the estimate is forgotten, with the partitioning.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if not loop:
+        return done
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:
