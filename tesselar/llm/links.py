@@ -1,10 +1,17 @@
 """Links between documents that share a key: who shares is found on identifiers alone, payloads follow only for those.
 
-`linked` is the candidate search of every near-copy operator here. Keys (64 bits) with their identifiers are sorted
-once and keys that only one document has are dropped; the others get their payloads and are sorted by key again, and
-each key's documents are connected by `forest`. A forest has the connected components of *all* pairs at or above the
-threshold, yet needs far fewer comparisons than there are pairs: whatever is linked to a visited document is not
-compared with its further neighbours again. So no group is capped, and a group of n alike costs n comparisons.
+`linked` is the candidate search of every near-copy operator here. It works on nodes: a node is a digest of what is
+compared, so that documents with equal payloads are one node from the start (`collapse`), whatever their number, and
+rows that repeat an identifier with different texts are different nodes. Keys (64 bits) with their nodes are sorted once
+and keys that only one node has are dropped; the others get their payloads and are sorted by key again, and each key's
+nodes are connected by `forest`. A forest has the connected components of *all* pairs at or above the threshold, yet
+needs far fewer comparisons than there are pairs: whatever is linked to a visited node is not compared with its further
+neighbours again. So no group is capped, and a group of n alike costs n comparisons.
+
+A task holds at most two blocks of `BLOCK` nodes: the nodes of a larger key are numbered as they stream by, cut into
+blocks, and every two blocks of the key meet in a task of their own.
+
+Nodes are 64-bit numbers: two different payloads of n have the same one with a probability of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -16,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, in_keys, keyed, sized, without_keys
 
+BLOCK = 1 << 14
 #: compare(data, i, js) -> similarity of row i of the payloads with each of the rows js.
 Compare = Callable[[object, int, np.ndarray], np.ndarray]
 
@@ -38,82 +46,119 @@ def forest(data, n: int, compare: Compare, at_least: float) -> list[tuple[int, i
     return edges
 
 
+def several(batches):
+    """The rows (key, doc_id) of batches in order of keys whose key has more than one row, with their place in the key.
+
+    One row and one number are held between batches, whatever the size of a key.
+    """
+    last, waits, seen = None, None, 0
+    for b in batches:
+        k, d = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(k):
+            continue
+        if waits is not None:
+            k, d = np.concatenate([[last], k]), np.concatenate([[waits], d])
+        begins = np.concatenate([[True], k[1:] != k[:-1]])
+        at = np.flatnonzero(begins)
+        nth = np.arange(len(k)) - np.repeat(at, np.diff(np.append(at, len(k))))
+        goes_on = waits is None and last is not None and k[0] == last
+        if goes_on:
+            nth[: at[1] if len(at) > 1 else len(k)] += seen
+        on = np.zeros(len(k), bool)
+        on[1:] = ~begins[1:]
+        on[:-1] |= ~begins[1:]
+        on[0] |= goes_on
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(d[on]), pa.array(nth[on])], ["key", "doc_id", "nth"])
+        last, waits, seen = k[-1], None if on[-1] else d[-1], int(nth[-1]) + 1
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys (key, doc_id), both LONG, whose key more than one document has."""
-
-    def several(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-        def out(k, d):
-            if len(k) > 1:
-                same = k[1:] == k[:-1]
-                on = np.zeros(len(k), bool)
-                on[1:] = same
-                on[:-1] |= same
-                if on.any():
-                    return pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(d[on])], ["key", "doc_id"])
-            return None
-
-        for b in batches:
-            k = np.concatenate([held[0], b.column(0).to_numpy(zero_copy_only=False)])
-            d = np.concatenate([held[1], b.column(1).to_numpy(zero_copy_only=False)])
-            if not len(k):
-                continue
-            # The rows of the last key wait for the next batch.
-            first = int(np.searchsorted(k, k[-1], "left"))
-            done = out(k[:first], d[:first])
-            if done is not None:
-                yield done
-            tail_k, tail_d = k[first:], d[first:]
-            held = [tail_k, tail_d]
-        done = out(*held)
-        if done is not None:
-            yield done
-
-    return keys.select("key", "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, doc_id long")
-
-
-def linked(keys: DataFrame, payload: DataFrame, load: Callable[[pa.Array], object], compare: Compare, at_least: float) -> DataFrame:
-    """(a, b, score): links between documents, a < b, that share a key and whose payloads are at least so similar.
-
-    keys is (key LONG, doc_id LONG), payload (doc_id LONG, data BINARY); load makes what compare takes of an array of
-    payloads. Pairs that are linked through others may be left out, but every component is connected.
+    """The rows (key, doc_id, nth) of keys (key, doc_id), both LONG, whose key more than one row has; nth counts them."""
+    return keys.select("key", "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, doc_id long, nth long")
+
+
+def collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes (node, rep, ..), copies (doc_id, node), counts (node, rep, n)) of rows (doc_id, node, ..).
+
+    rep is the smallest identifier of a node. copies are the rows of nodes that n > 1 rows have, counts these nodes.
+    Payloads are moved only for nodes that repeat, and then once for each task that has them.
+    """
+    counts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    again = counts.select("node")
+    more = [c for c in rows.columns if c not in ("doc_id", "node")]
+    once = without_keys(rows, F.col("node"), again).select("node", F.col("doc_id").alias("rep"), *more)
+    repeated = in_keys(rows, F.col("node"), again)
+    # Equal payloads are equal whichever is taken.
+    merged = repeated.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in more])
+    return once.unionByName(merged), repeated.select("doc_id", "node"), counts
+
+
+def ties(rows: DataFrame, copies: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b): links between the representatives of nodes that share an identifier, of rows (doc_id, node)."""
+    by = rows.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    mine = in_keys(copies, F.col("doc_id"), checkpointed(by.select("doc_id")))
+    # A node that nothing else has is represented by the identifier itself.
+    return keyed(mine, counts, ["node"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def linked(keys: DataFrame, payload: DataFrame, load: Callable[[pa.Array], object], compare: Compare, at_least: float, *, block: int = BLOCK) -> DataFrame:
+    """(a, b, score): links between representatives, a < b, whose nodes share a key and whose payloads are so similar.
+
+    keys is (key LONG, doc_id LONG), where doc_id is a node; payload (node LONG, rep LONG, data BINARY); load makes what
+    compare takes of an array of payloads. Pairs that are linked through others may be left out, but every component
+    is connected.
     """
 
     def connect(batches):
-        held_k, held_d, held_p = np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.binary())
-
-        def edges(k, d, p):
-            a, b, s = [], [], []
-            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, int)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if hi - lo > 1:
-                    for i, j, x in forest(load(p.slice(lo, hi - lo)), hi - lo, compare, at_least):
-                        u, v = int(d[lo + i]), int(d[lo + j])
-                        if u != v:
-                            a.append(min(u, v))
-                            b.append(max(u, v))
-                            s.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "score"])
+        # The parts of the group (key, low, high) that is being read: (representatives, payloads).
+        held: list[tuple[np.ndarray, pa.Array]] = []
+        group, found = None, []
+
+        def close():
+            d = np.concatenate([x[0] for x in held])
+            if len(d) > 1:
+                p = held[0][1] if len(held) == 1 else pa.concat_arrays([x[1] for x in held])
+                found.extend((int(d[i]), int(d[j]), x) for i, j, x in forest(load(p), len(d), compare, at_least) if d[i] != d[j])
+            held.clear()
+
+        def out():
+            a, b, s = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s, pa.float64())], ["a", "b", "score"])
 
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            d = np.concatenate([held_d, batch.column(1).to_numpy(zero_copy_only=False)])
-            p = pa.concat_arrays([held_p, batch.column(2)])
-            if not len(k):
-                continue
-            first = int(np.searchsorted(k, k[-1], "left"))
-            if first:
-                yield edges(k[:first], d[:first], p.slice(0, first))
-            held_k, held_d, held_p = k[first:], d[first:], p.slice(first)
-        if len(held_k):
-            yield edges(held_k, held_d, held_p)
+            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)], axis=1)
+            d, p = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
+            cuts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1), [True]])).tolist() if len(k) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                now = tuple(k[lo].tolist())
+                if held and now != group:
+                    close()
+                group = now
+                held.append((d[lo:hi], p.slice(lo, hi - lo)))
+            if found:
+                yield out()
+        if held:
+            close()
+        if found:
+            yield out()
 
     some = checkpointed(shared_keys(keys))
-    with_data = some.join(payload, "doc_id").select("key", "doc_id", "data")
+    at = F.floor(F.col("nth") / block).cast("long")
+    # Keys of more than one block: at most all rows / BLOCK.
+    large = checkpointed(some.where(F.col("nth") >= block).groupBy("key").agg((F.floor(F.max("nth") / block) + 1).cast("long").alias("blocks")))
+    placed = some.select("key", F.col("doc_id").alias("node"), at.alias("mine"))
+    if large.isEmpty():
+        placed = placed.select("key", "node", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    else:
+        placed = placed.join(sized(large, 32), "key", "left")
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda o: (o != F.col("mine")) | F.col("blocks").isNull())
+        placed = placed.withColumn("other", F.explode(others)).select("key", "node", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    with_data = placed.join(payload, "node").select("key", "low", "high", "rep", "data")
     return (
-        with_data.repartition("key")
-        .sortWithinPartitions("key", "doc_id")
+        with_data.repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "rep")
         .mapInArrow(connect, "a long, b long, score double")
         .groupBy("a", "b")
         .agg(F.max("score").alias("score"))

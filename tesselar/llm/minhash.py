@@ -6,12 +6,14 @@ signature. Documents that share a band are compared by their signatures: from th
 bits, the similarity follows after the chance of equal low bits, 2**-BITS, is taken out. Groups are the connected
 components of all links at or above `AT_LEAST`, and the smallest identifier of a group stays.
 
-Documents with equal minima are one document in the search, tied to the smallest identifier among them; see `links`
+Documents with equal minima are one node in the search, tied to the smallest identifier among them; see `links`
 for what keeps large groups cheap. No bucket or group has a cap.
 
 Cases: a null or wordless text, or a null identifier, takes no part and stays; texts are read whole; a text of fewer
-words than a shingle is one shingle; rows that repeat an identifier are one document and stay or go together (two rows
-alike but for nothing both stay); an empty table gives an empty result; further columns of the input are kept.
+words than a shingle is one shingle; rows that repeat an identifier are one document, with the links of all its texts,
+and stay or go together (two rows alike but for nothing both stay); similarities that tie need no order, as all links
+of a group count; an empty table gives an empty result; further columns of the input are kept, whatever their names.
+Identifiers are whole numbers; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -20,11 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernel
-from .links import linked
-from .shared import checkpointed, components, without_keys, table
+from .links import BLOCK, collapse, linked, ties
+from .shared import checkpointed, components, keyed, numbered_ids, table, without_keys
 
 SHINGLE = 3
 BANDS = 48
@@ -70,7 +71,10 @@ def similarity(signatures: np.ndarray, i: int, js: np.ndarray, k: int, bits: int
 
 
 def sketches(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """(doc_id, signature, bands) of every document with a word; bands is an array of 64-bit keys."""
+    """(doc_id, node, data, bands) of every document with a word: data is the signature, bands are 64-bit keys.
+
+    node is a digest of both: documents with equal minima have the same.
+    """
     multiply, mask = permutations(bands * rows)
 
     def run(batches):
@@ -88,39 +92,40 @@ def sketches(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, row
                 key = kernel.mix(key * np.uint64(0xD6E8FEB86659FD93) + whole[:, :, r] + np.uint64(1))
             key = kernel.mix(key + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xA0761D6478BD642F))
             sig = packed(m.astype(np.uint8), bits)
+            node = np.zeros(len(some), np.uint64)
+            for r in range(bands):
+                node = kernel.mix(node * np.uint64(0xD6E8FEB86659FD93) + key[:, r])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(some)),
+                    pa.array(node.view(np.int64)),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(sig.shape[1]), len(some), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.view(np.int64).ravel())),
                 ],
-                ["doc_id", "data", "bands"],
+                ["doc_id", "node", "data", "bands"],
             )
 
-    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return some.mapInArrow(run, "doc_id long, data binary, bands array<long>")
+    some = numbered_ids(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return some.mapInArrow(run, "doc_id long, node long, data binary, bands array<long>")
 
 
-def edges(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, at_least: float = AT_LEAST) -> DataFrame:
-    """(a, b, score), a < b: links that connect every group of near copies."""
+def groups(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, at_least: float = AT_LEAST, block: int = BLOCK) -> DataFrame:
+    """(doc_id, keep_id) for every document that goes: keep_id is the smallest identifier of its group."""
     k = bands * rows
-    same = Window.partitionBy("data", "bands")
-    sketch = checkpointed(sketches(docs, shingle=shingle, bands=bands, rows=rows, bits=bits).withColumn("rep", F.min("doc_id").over(same)))
-    equal = sketch.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("score"))
-    reps = sketch.where("doc_id = rep")
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
+    sketch = checkpointed(sketches(docs, shingle=shingle, bands=bands, rows=rows, bits=bits))
+    nodes, copies, counts = collapse(sketch)
 
     def load(data: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(len(data), -1)
 
-    return linked(keys, reps.select("doc_id", "data"), load, lambda d, i, js: similarity(d, i, js, k, bits), at_least).unionByName(equal)
-
-
-def groups(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, keep_id) for every document that goes: keep_id is the smallest identifier of its group."""
-    found = checkpointed(edges(docs, **how).select("a", "b"))
-    labels = components(found)
-    return labels.where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("keep_id"))
+    keys = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("doc_id"))
+    found = linked(keys, nodes.select("node", "rep", "data"), load, lambda d, i, js: similarity(d, i, js, k, bits), at_least, block=block)
+    labels = components(found.select("a", "b").unionByName(ties(sketch.select("doc_id", "node"), copies, counts)))
+    moved = labels.where("node <> label").select(F.col("node").alias("doc_id"), "label")
+    # What equals a representative goes where that one goes: no group of equals passes through the components.
+    to = counts.join(moved.withColumnRenamed("doc_id", "rep"), "rep", "left").select("node", "n", F.coalesce("label", "rep").alias("label"))
+    equal = keyed(copies, checkpointed(to), ["node"]).where("doc_id <> label").select("doc_id", "label")
+    return moved.unionByName(equal).groupBy("doc_id").agg(F.min("label").alias("keep_id"))
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:

@@ -1,42 +1,45 @@
-"""What the operators of this subpackage have in common: checkpoints, size-checked filters and components."""
+"""What the operators of this subpackage have in common: size-checked filters and joins, and components."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
+
+from tesselar.session import checkpointed, remove, shared_folder  # noqa: F401
 
 #: Keys that a filter may broadcast, in bytes of 8-byte digests. Beyond it the filter is a shuffled semi join.
 MAX_BROADCAST_BYTES = 32 << 20
+#: A group of more rows than this is hot: its rows aren't sent to one task.
+HOT_ROWS = 1 << 17
+
+
+def numbered_ids(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs, if its identifiers are whole numbers; operators that order or number documents by them take no others."""
+    kind = docs.schema[column].dataType
+    if not isinstance(kind, (ty.IntegralType, ty.NullType)):
+        raise ValueError(f"{column} must be a whole number, not {kind.simpleString()}: map other identifiers to 64-bit numbers first")
+    return docs
+
+
+def sized(df: DataFrame, row_bytes: int, *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows are counted and fit: row_bytes is what one takes at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in spark.checkpoint.dir.
+def keyed(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str = "n", row_bytes: int = 96, max_bytes: int = MAX_BROADCAST_BYTES, hot: int = HOT_ROWS) -> DataFrame:
+    """rows joined to groups, which has one row for each key `on` and in `size` how many of rows have it.
 
-    Only a local session that has none gets a temporary one.
+    Groups that fit max_bytes are broadcast. Beyond it only those with more than `hot` rows are, of which there are
+    few (all rows / hot at most, counted too), and the others are shuffled: no task gets a key with more rows than that.
     """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if where is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc._jsc.sc().getCheckpointDir().get()
-    if where is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tesselar-checkpoint-")
-        sc.setCheckpointDir(where)
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, so that a lost executor costs no lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    if groups.count() * row_bytes <= max_bytes:
+        return rows.join(F.broadcast(groups), on)
+    few = sized(groups.where(F.col(size) > hot), row_bytes, max_bytes=max_bytes)
+    cold = rows.join(few.select(*on), on, "left_anti")
+    return rows.join(few, on).unionByName(cold.join(groups.where(F.col(size) <= hot), on))
 
 
 def _by_keys(df: DataFrame, key: Column, keys: DataFrame, inside: bool, max_bytes: int) -> DataFrame:
@@ -106,7 +109,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = checkpointed(
             lower.join(up, lower.label == up.at, "left").select(
                 "node", "old", F.least("label", F.coalesce("up", "label")).alias("label")
-            )
+            ),
+            loop=True,
         )
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
