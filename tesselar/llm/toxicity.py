@@ -3,13 +3,18 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by the ordered thresholds theta_1 < theta_2 < ...,
 and the score of a text is its expected grade, the sum of P(grade > k). The labels only say whether a text is toxic,
 so toxic training texts are graded 1 to `grades` - 1 by equal shares of their evidence, the summed log odds of their
-words. The features are the words whose presence depends on the label by a chi-squared test; the fit is proximal
-gradient descent (FISTA) with an L1 penalty on a bounded, stratified sample, whose rows are weighted back to the exact
-class counts of all labels.
+words. The features are the words whose presence depends on the label by a chi-squared test. The fit maximises the
+likelihood of the grades, P(grade = k) = sigmoid(theta_k - w.x) - sigmoid(theta_(k-1) - w.x), less an L1 penalty: the
+thresholds are at their optimum for the current weights (Newton steps), and the weights take accelerated proximal steps
+(FISTA) on what is left, which is convex. It runs on a bounded, stratified sample, whose rows are weighted back to the
+exact class counts of all labels.
 
 Cases: a null text has a null severity and isn't toxic; an empty text has no feature and the severity of the thresholds
-alone, by which no text is toxic; whole texts of any length are read; repeated rows get equal scores; an empty table gives an empty result. With
-no usable label of either class, no text has a severity and none is toxic. Other columns of the input don't matter.
+alone, by which no text is toxic; whole texts of any length are read; repeated rows get equal scores; a severity equal to
+the limit is toxic; labelled rows whose digests tie are taken by identifier; a document with several labels has the
+largest; a grade that no training text has shares the threshold of its neighbour; an empty table gives an empty result;
+a row without identifier is scored. With no usable label of either class, no text has a severity and none is toxic.
+Other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -88,24 +93,103 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", grades: int
     def bags(batches):
         for batch in kernel.slices(batches, "text"):
             h, first = kernel.words(batch.column("text"))
+            each = [np.unique(h[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
-                ["doc_id", "y", "words"],
+                [batch.column("doc_id"), batch.column("y"), *[pa.array([x[k].astype(kind).tobytes() for x in each], pa.binary()) for k, kind in ((0, np.uint64), (1, np.uint32))]],
+                ["doc_id", "y", "words", "counts"],
             )
 
-    rows = sorted((r["doc_id"], r["y"], r["words"]) for r in sample.mapInArrow(bags, "doc_id long, y int, words binary").toLocalIterator())
+    # max_rows rows of distinct words at most, in one job.
+    got = sample.mapInArrow(bags, "doc_id long, y int, words binary, counts binary").collect()
+    rows = sorted((r["doc_id"], r["y"], bytes(r["words"]), bytes(r["counts"])) for r in got)
     y = np.array([r[1] for r in rows], int)
     if not (0 < y.sum() < len(y)):
         return None
-    return fit_bags([np.frombuffer(r[2], np.uint64) for r in rows], y, counts, grades=grades, min_df=min_df, min_chi2=min_chi2, l1=l1, rounds=rounds)
+    bags_ = [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.uint32)) for r in rows]
+    return fit_bags(bags_, y, counts, grades=grades, min_df=min_df, min_chi2=min_chi2, l1=l1, rounds=rounds)
 
 
-def fit_bags(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int], *, grades: int, min_df: int, min_chi2: float, l1: float, rounds: int) -> OrdinalModel:
-    """The fit itself, on the driver: bags of word hashes with labels 0 and 1."""
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    vocab, at = np.unique(np.concatenate(bags), return_inverse=True)
-    pair, tf = np.unique(doc * len(vocab) + at, return_counts=True)
-    doc, at = pair // len(vocab), pair % len(vocab)
+def likelihood(z: np.ndarray, theta: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, gradient by z, gradient by theta, Hessian by theta) of the weighted negative log-likelihood of grades.
+
+    z is w.x of each row; theta are the thresholds between the grades 0, 1, .., in ascending order.
+    """
+    k = len(theta)
+    high, deep = np.append(theta, np.inf)[grade] - z, np.insert(theta, 0, -np.inf)[grade] - z
+    a, b = _sigmoid(high), _sigmoid(deep)
+    # a - b without cancellation.
+    p = np.maximum(a * _sigmoid(-deep) * -np.expm1(deep - high), 1e-300)
+    da, db = a * _sigmoid(-high), b * _sigmoid(-deep)
+    by_z = weight * (1 - a - b)
+    up, low = grade < k, grade > 0
+    by_theta = np.bincount(grade[up], weights=(-weight * da / p)[up], minlength=k) + np.bincount(grade[low] - 1, weights=(weight * db / p)[low], minlength=k)
+    curve_a, curve_b = -(da * (1 - 2 * a) / p - (da / p) ** 2), db * (1 - 2 * b) / p + (db / p) ** 2
+    hessian = np.diag(np.bincount(grade[up], weights=(weight * curve_a)[up], minlength=k) + np.bincount(grade[low] - 1, weights=(weight * curve_b)[low], minlength=k))
+    both = up & low
+    cross = np.bincount(grade[both], weights=(-weight * da * db / p**2)[both], minlength=k)
+    for j in range(1, k):
+        hessian[j, j - 1] = hessian[j - 1, j] = cross[j]
+    return float(-(weight * np.log(p)).sum()), by_z, by_theta, hessian
+
+
+def best_thresholds(z: np.ndarray, theta: np.ndarray, grade: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The ascending thresholds that maximise the likelihood for given z, from theta on."""
+    value, _, g, h = likelihood(z, theta, grade, weight)
+    for _ in range(rounds):
+        step, t = np.linalg.solve(h + 1e-12 * np.eye(len(theta)), g), 1.0
+        # What a step can still gain.
+        if float(g @ step) < 1e-13:
+            break
+        while t > 1e-9:
+            new = theta - t * step
+            if (np.diff(new) > 0).all():
+                got = likelihood(z, new, grade, weight)
+                if got[0] <= value - 1e-4 * t * float(g @ step):
+                    break
+            t /= 2
+        else:
+            break
+        theta, (value, _, g, h) = new, got
+    return theta
+
+
+def ordinal_fit(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, d: int, *, l1: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(w, theta) that minimise the negative log-likelihood plus l1 * |w|, for rows of entries (doc, at, x).
+
+    Every grade from 0 on must have a row.
+    """
+    n = len(grade)
+    share = np.cumsum(np.bincount(grade, weights=weight))[:-1]
+    theta = np.log(share / (1 - share))
+    w, seen, t = np.zeros(d), np.zeros(d), 1.0
+    # The likelihood's curvature by z is a half at most: the step follows from the largest eigenvalue of X' diag(weight) X.
+    v, top = np.ones(d), 1e-12
+    for _ in range(50):
+        v = np.bincount(at, weights=(weight * np.bincount(doc, weights=v[at] * x, minlength=n))[doc] * x, minlength=d)
+        top = max(1e-12, float(np.linalg.norm(v)))
+        v = v / top
+    step = 2.0 / (1.05 * top)
+    for _ in range(rounds):
+        z = np.bincount(doc, weights=seen[at] * x, minlength=n)
+        theta = best_thresholds(z, theta, grade, weight)
+        g = np.bincount(at, weights=likelihood(z, theta, grade, weight)[1][doc] * x, minlength=d)
+        new = seen - step * g
+        new = np.sign(new) * np.maximum(0, np.abs(new) - step * l1)
+        moved = np.abs(new - w).max(initial=0.0)
+        if (new - w).dot(seen - new) > 0:
+            t = 1.0
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        seen, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        if moved < 1e-6:
+            break
+    return w, best_thresholds(np.bincount(doc, weights=w[at] * x, minlength=n), theta, grade, weight)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict[int, int], *, grades: int, min_df: int, min_chi2: float, l1: float, rounds: int) -> OrdinalModel:
+    """The fit itself, on the driver: bags of distinct word hashes and their counts, with labels 0 and 1."""
+    doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    vocab, at = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+    tf = np.concatenate([b[1] for b in bags]).astype(np.int64)
     m, m1 = len(y), y.sum()
     df, df1 = np.bincount(at, minlength=len(vocab)), np.bincount(at, weights=y[doc], minlength=len(vocab))
     chi2 = m * (df1 * m - df * m1) ** 2 / (df * (m - df) * m1 * (m - m1) + 1e-9)
@@ -125,25 +209,11 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, counts: dict[int, int], *, g
     cuts = np.quantile(evidence[y == 1], np.arange(1, grades - 1) / (grades - 1)) if grades > 2 else []
     grade[y == 1] = 1 + np.searchsorted(cuts, evidence[y == 1], "left")
 
-    k = grades - 1
-    share = np.array([max(1e-4, weight[grade > j].sum()) for j in range(k)])
-    theta = np.log((1 - share) / share)
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(k))
-    above = (grade[:, None] > np.arange(k)[None, :]).astype(float)
-    w, seen, t = np.zeros(d), np.zeros(d), 1.0
-    step = 4.0 / (k * max(1e-12, np.bincount(doc, weights=x * x, minlength=n).dot(weight))) * 4
-    for _ in range(rounds):
-        z = np.bincount(doc, weights=seen[at] * x, minlength=n)
-        # The likelihood of the cumulative splits: each threshold is a logistic model that shares w.
-        e = (_sigmoid(z[:, None] - theta[None, :]) - above) * weight[:, None]
-        g = np.bincount(at, weights=e.sum(1)[doc] * x, minlength=d)
-        new_w = seen - step * g
-        new_w = np.sign(new_w) * np.maximum(0, np.abs(new_w) - step * l1)
-        theta = np.maximum.accumulate(theta + 2.0 * e.sum(0) + 0.0)
-        if (new_w - w).dot(seen - new_w) > 0:
-            t = 1.0
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        seen, w, t = new_w + (t - 1) / t2 * (new_w - w), new_w, t2
+    # Grades without a row have no threshold of their own.
+    some, level = np.unique(grade, return_inverse=True)
+    w, own = ordinal_fit(doc, at, x, level, weight, d, l1=l1, rounds=rounds)
+    above = np.searchsorted(some, np.arange(grades - 1), "right") - 1
+    theta = np.where(above < len(own), own[np.minimum(above, len(own) - 1)], 1e3)
     used = np.flatnonzero(w)
     return OrdinalModel(vocab[used], w[used], theta)
 
