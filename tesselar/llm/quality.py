@@ -6,8 +6,10 @@ magnitude (`blend`). The n-grams are words, pairs of words, byte trigrams of the
 capitals) and the repetition patterns of four words in a row.
 
 Cases: a null text has a null score and is kept; an empty text scores the bias alone; whole texts of any length are
-read; repeated rows score alike; an empty table gives an empty result; with fewer than two labelled classes there is no
-model, every score is null and all is kept. Other columns of the input don't matter.
+read; repeated rows score alike; a score equal to the limit is kept; labelled rows whose digests tie are taken by
+identifier; a document with several labels has the largest; a row without identifier is scored; an empty table gives an
+empty result; with fewer than two labelled classes there is no model, every score is null and all is kept. Other columns
+of the input don't matter.
 """
 
 from __future__ import annotations
@@ -128,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows:
             small = bucket.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([small[i:j].tobytes() for i, j in zip(b[:-1], b[1:])], pa.binary())], ["doc_id", "y", "buckets"])
 
-    got = sorted((r["doc_id"], r["y"], r["buckets"]) for r in sample.mapInArrow(rows, "doc_id long, y int, buckets binary").toLocalIterator())
+    # max_rows rows of distinct buckets at most, in one job.
+    got = sorted((r["doc_id"], r["y"], bytes(r["buckets"])) for r in sample.mapInArrow(rows, "doc_id long, y int, buckets binary").collect())
     y = np.array([r[1] for r in got], float)
     if not (0 < y.sum() < len(y)):
         return None
