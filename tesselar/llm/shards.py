@@ -3,19 +3,22 @@
 Documents are linked by the lines they share: a line (any but a blank one) of n documents links each two
 of them with a weight of 1 / (n - 1), so that very common lines tell little. Links are never laid out as pairs: a line
 counts its documents by shard, and a document weighs the shards by the counts of its lines, less itself. This is the
-exact vote of all its neighbours, whatever n.
+exact vote of all its neighbours, whatever n. Lines are counted before they are moved, and a hot line's documents stay
+where they are: its counts go to them.
 
 Linked documents begin in a shard drawn from their rarest line. In every round each one finds the shard with the most
-weight; of those that would gain, a half drawn by digest may move. A shard takes newcomers, highest gains first, while
-others leave it for where they come from, and beyond that while it has room below its quota, so no quota is ever
-exceeded. Rounds end after `ROUNDS`, or when no more than `STILL` of the linked documents move. Documents without links
-fill what is left, by exact ranks of their digests: shards end with sizes that differ by one at most, unless rounding
-left a shard one above.
-
-Cases: rows that repeat an identifier are one document and share its shard; a null or empty text has no lines, hence no
-links; a row without identifier gets the shard of its text's digest, outside the quotas; ties go to the document's own
-shard, then to the smaller shard, then by digest and identifier; with fewer documents than shards some stay empty; an
-empty table gives an empty result; other columns of the input don't matter.
+weight; of those that would gain, a half drawn by digest may move. A shard takes newcomers, highest gains first (in
+`LEVELS` levels, by digest within a level), while others leave it for where they come from, and beyond that while it has
+room below its quota, so no quota is ever exceeded. Who is within a quota follows from counts in bins of that order; only
+the bin in which the quota ends is sorted. Rounds end after `ROUNDS`, or when no more than `STILL` of the linked documents
+move. Documents without links fill what is left, by exact ranks of their digests: shards end with sizes that differ by
+one at most, unless rounding left a shard one above.
+
+Cases: rows that repeat an identifier are one document with the lines of all its texts, and share its shard; a null or
+empty text has no lines, hence no links; texts and lines are read whole; a row without identifier gets the shard of its
+text's digest, outside the quotas; ties go to the document's own shard, then to the smaller shard, then by digest and
+identifier; with fewer documents than shards some stay empty; an empty table gives an empty result; other columns of the
+input don't matter. Identifiers are whole numbers; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,22 +26,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .links import shared_keys
-from .shared import checkpointed, table
+from .shared import checkpointed, keyed, numbered_ids, sized, table
 
 SHARDS = 16
 ROUNDS = 8
 STILL = 0.002
 MIN_CHARS = 1
+LEVELS = 64
 _BINS = 4096
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(line, doc_id, n): the lines, by hash, that more than one document has, with how many have them."""
     cut = F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) >= min_chars) & x.rlike(r"\S"))
-    each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))).alias("key"))
-    several = shared_keys(each).distinct()
-    return several.select(F.col("key").alias("line"), "doc_id", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")
+    some = numbered_ids(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = checkpointed(some.select(F.explode(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))).alias("line"), "doc_id"))
+    if not some.groupBy("doc_id").count().where("count > 1").isEmpty():
+        each = each.distinct()
+    counts = checkpointed(each.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"))
+    return keyed(each, counts, ["line"]).select("line", "doc_id", "n")
+
+
+def _within(rows: DataFrame, by: list[str], quota: DataFrame) -> DataFrame:
+    """The rows of each group `by` that come first by (bin, digest, doc_id), as many as quota (by, most) says.
+
+    Rows are counted by bin; what lies in bins before the one in which the quota ends is in without a sort.
+    """
+    counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("here"))
+    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    # Groups times bins, whatever the corpus.
+    before = counts.withColumn("before", F.coalesce(F.sum("here").over(order), F.lit(0)))
+    edges = checkpointed(before.join(F.broadcast(quota), by).where("before < most"))
+    placed = rows.join(sized(edges, 64), [*by, "bin"])
+    nth = F.row_number().over(Window.partitionBy(*by, "bin").orderBy("digest", "doc_id"))
+    last = placed.where("before + here > most").withColumn("nth", nth).where("before + nth <= most").drop("nth")
+    return placed.where("before + here <= most").unionByName(last).select(*rows.columns)
+
+
+def _bin(high: Column, digest: Column) -> Column:
+    """high, a number below 64, and then eight bits of the digest, which rows with an equal high are sorted by."""
+    return (high * 256 + F.shiftrightunsigned(digest, 55)).cast("long")
 
 
 def _ranks(ids: DataFrame, seed: int) -> DataFrame:
@@ -97,53 +124,57 @@ def quotas(flows: dict[tuple[int, int], int], sizes: list[int], cap: int) -> dic
     return out
 
 
-def propose(links: DataFrame, labels: DataFrame, turn: Column) -> DataFrame:
+def propose(links: DataFrame, labels: DataFrame, turn: Column, shards: int) -> DataFrame:
     """(doc_id, shard, best, gain) of the documents that would gain by moving and whose turn it is."""
-    placed = links.join(labels, "doc_id")
-    by_line = placed.groupBy("line", F.col("shard").alias("at")).agg(F.count("*").alias("c"))
-    votes = (
-        placed.join(by_line, "line")
-        .groupBy("doc_id", "shard", "at")
-        .agg(F.round(F.sum((F.col("c") - F.when(F.col("at") == F.col("shard"), 1).otherwise(0)) / (F.col("n") - 1)), 9).alias("w"))
-    )
-    best = votes.groupBy("doc_id", "shard").agg(
-        F.max(F.struct("w", (F.col("at") == F.col("shard")).alias("own"), (-F.col("at")).alias("minus"))).alias("m"),
-        F.coalesce(F.max(F.when(F.col("at") == F.col("shard"), F.col("w"))), F.lit(0.0)).alias("now"),
-    )
-    moves = best.select("doc_id", "shard", (-F.col("m.minus")).cast("int").alias("best"), (F.col("m.w") - F.col("now")).alias("gain"))
+    placed = links.select("line", "doc_id").join(labels, "doc_id")
+    counted = [F.count(F.when(F.col("shard") == k, 1)).alias(f"c{k}") for k in range(shards)]
+    by_line = checkpointed(placed.groupBy("line").agg(F.count("*").alias("n"), *counted).where("n > 1"))
+    each = keyed(placed, by_line, ["line"], row_bytes=48 + 8 * shards)
+    vote = lambda k: (F.col(f"c{k}") - F.when(F.col("shard") == k, 1).otherwise(0)) / (F.col("n") - 1)
+    votes = each.groupBy("doc_id", "shard").agg(*[F.round(F.sum(vote(k)), 9).alias(f"w{k}") for k in range(shards)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"w{k}").alias("w"), (F.col("shard") == k).alias("own"), F.lit(-k).alias("minus")) for k in range(shards)]))
+    now = F.element_at(F.array(*[F.col(f"w{k}") for k in range(shards)]), F.col("shard") + 1)
+    moves = votes.select("doc_id", "shard", best.alias("m"), now.alias("now")).select("doc_id", "shard", (-F.col("m.minus")).cast("int").alias("best"), (F.col("m.w") - F.col("now")).alias("gain"))
     return moves.where((F.col("best") != F.col("shard")) & (F.col("gain") > 0) & turn)
 
 
+def level(gain: Column) -> Column:
+    """The level of a gain, 0 for the highest."""
+    return (LEVELS - 1 - F.floor(LEVELS * gain / (1 + gain))).cast("int")
+
+
 def assign(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, still: float = STILL, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, shard) of every document: each identifier once, and each row without identifier."""
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    spark = docs.sparkSession
+    ids = checkpointed(numbered_ids(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     n = ids.count()
     cap = -(-n // shards)
     links = checkpointed(shared_lines(docs, min_chars))
-    first = links.groupBy("doc_id").agg(F.min(F.struct("n", "line")).alias("rarest")).select("doc_id", F.pmod(F.xxhash64("rarest.line"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("rarest.line").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("shard").orderBy("h", "doc_id"))
-    first = checkpointed(first.withColumn("nth", nth))
-    labels = first.where(F.col("nth") <= cap).select("doc_id", "shard")
-    sizes = _sizes(labels, shards)
-    over = first.where(F.col("nth") > cap).select("doc_id")
-    if not over.isEmpty():
-        labels = labels.union(_fill(over, [cap - s for s in sizes], 1))
-    labels = checkpointed(labels)
+    digest = F.xxhash64("doc_id")
+    first = links.groupBy("doc_id").agg(F.min(F.struct("n", "line")).alias("rarest")).select("doc_id", F.xxhash64("rarest.line").alias("h"))
+    first = first.select("doc_id", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), digest.alias("digest"), _bin(F.shiftrightunsigned("h", 58), digest).alias("bin"))
+    first = checkpointed(first)
+    quota = spark.createDataFrame([(s, cap) for s in range(shards)], "shard int, most long")
+    labels = checkpointed(_within(first, ["shard"], quota).select("doc_id", "shard"))
     sizes = _sizes(labels, shards)
+    over = first.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    if sum(sizes) < first.count():
+        labels = checkpointed(labels.union(_fill(over, [cap - s for s in sizes], 1)))
+        sizes = _sizes(labels, shards)
     linked = sum(sizes)
     for k in range(rounds if linked else 0):
         turn = F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.lit(2)) == 0
-        order = Window.partitionBy("shard", "best").orderBy(F.col("gain").desc(), F.xxhash64("doc_id"), "doc_id")
-        moves = checkpointed(propose(links, labels, turn).withColumn("nth", F.row_number().over(order)))
+        moves = propose(links, labels, turn, shards).select("doc_id", "shard", "best", digest.alias("digest"), _bin(level(F.col("gain")), digest).alias("bin"))
+        moves = checkpointed(moves)
         flows = {(r["shard"], r["best"]): r["n"] for r in moves.groupBy("shard", "best").agg(F.count("*").alias("n")).collect()}
         allowed = quotas(flows, sizes, cap)
         moved = sum(allowed.values())
         if not moved:
             break
         # shards * shards numbers, whatever the corpus.
-        limit = docs.sparkSession.createDataFrame([(a, b, q) for (a, b), q in sorted(allowed.items()) if q], "shard int, best int, most long")
-        taken = moves.join(F.broadcast(limit), ["shard", "best"]).where("nth <= most").select("doc_id", "best")
-        labels = checkpointed(labels.join(taken, "doc_id", "left").select("doc_id", F.coalesce("best", "shard").alias("shard")))
+        limit = spark.createDataFrame([(a, b, q) for (a, b), q in sorted(allowed.items()) if q], "shard int, best int, most long")
+        taken = _within(moves, ["shard", "best"], limit).select("doc_id", "best")
+        labels = checkpointed(labels.join(taken, "doc_id", "left").select("doc_id", F.coalesce("best", "shard").alias("shard")), loop=True)
         for (a, b), q in allowed.items():
             sizes[a] -= q
             sizes[b] += q
