@@ -15,7 +15,8 @@ partner and emit no variants. The filters drop no pair within the bound; a bound
 
 Cases: a null or empty text has no lines; lines are cut at line feeds and read whole, whatever their length; blank
 lines stay; ties can't occur but among rows that repeat an identifier, which keep and lose lines alike; a
-null identifier orders last; an empty table gives an empty result; other columns of the input don't matter.
+null identifier orders last; an empty table gives an empty result; other columns of the input don't matter. Identifiers
+are whole numbers; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .links import shared_keys
-from .shared import checkpointed, in_keys, table
+from .shared import checkpointed, in_keys, keyed, numbered_ids, table
 
 MIN_CHARS = 1
 NEAR_CHARS = 12
@@ -70,7 +71,7 @@ def variants(line: str, bound: int = BOUND) -> np.ndarray:
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line) of all lines that are compared; line numbers count from 0."""
-    cut = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    cut = numbered_ids(docs).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return cut.where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
 
 
@@ -84,13 +85,11 @@ def _keyed(rows: DataFrame, make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(text), 256):
-                keys = [make(t) for t in text[lo : lo + 256]]
+            # By bytes: a line has about as many variants as characters.
+            for part in kernel.slices(iter([batch]), "line", 1 << 16):
+                keys = [make(t) for t in part.column(1).to_pylist()]
                 n = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(lo, lo + len(n)), n)))], ["key", "doc_id"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], ["key", "doc_id"])
 
     return rows.select("doc_id", "line").mapInArrow(run, "key long, doc_id long")
 
@@ -149,11 +148,12 @@ def find(docs: DataFrame, *, min_chars: int = MIN_CHARS, near_chars: int = NEAR_
         by_line.select("h", "g", "first", "n")
         .join(near, ["h", "g"], "left")
         .where("n > 1 OR near IS NOT NULL")
-        .select("h", "g", F.when(F.col("near.first") < F.col("first"), F.col("near")).otherwise(F.struct("first", F.lit(0).alias("distance"))).alias("keep"))
+        .select("h", "g", "n", F.when(F.col("near.first") < F.col("first"), F.col("near")).otherwise(F.struct("first", F.lit(0).alias("distance"))).alias("keep"))
     )
     may = in_keys(all_lines.select(h.alias("h"), g.alias("g"), _place().alias("place")), F.col("h"), judged.select("h").distinct())
+    # A line that a third of all documents have stays where it is: its verdict goes to it.
     return (
-        may.join(judged, ["h", "g"])
+        keyed(may, judged, ["h", "g"])
         .where("place <> keep.first")
         .select("place.doc_id", "place.line_no", F.col("keep.first.doc_id").alias("keep_doc_id"), F.col("keep.first.line_no").alias("keep_line_no"), F.col("keep.distance").alias("distance"))
     )
