@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -293,8 +294,20 @@ def decode(rows: DataFrame, *, path: str = PATH) -> DataFrame:
     def run(batches):
         bpe = _encoder(path, held)
         for batch in batches:
-            texts = [None if t is None else bpe.decode(np.array(t, np.int64)).tobytes().decode(errors="replace") for t in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lists = batch.column("tokens")
+            null = lists.is_null().to_numpy(zero_copy_only=False)
+            offs = lists.offsets.to_numpy().astype(np.int64)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            # A null list has no values in what flatten gives.
+            ends = np.concatenate([[0], np.cumsum(np.where(null, 0, np.diff(offs)))])
+            data = bpe.decode(tokens)
+            at = np.concatenate([[0], np.cumsum(bpe.length[tokens])])[ends]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(null), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+            try:
+                texts = texts.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                texts = pa.array([t.decode(errors="replace") for t in texts.to_pylist()], pa.large_string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.if_else(pa.array(null), None, texts).cast(pa.string())], ["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, text string")
