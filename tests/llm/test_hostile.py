@@ -1,5 +1,6 @@
 """Every operator and pipeline stage over nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import numpy as np
 import pytest
 
 from tesselar.llm import bpe, exact, fingerprint, hosts, lines, minhash, mixing, quality, shards, toxicity
@@ -75,6 +76,22 @@ def test_toxicity_and_quality(hostile, labels):
             assert kept.columns == hostile.columns and {None, 6} <= {r[0] for r in rows(kept)}
 
 
+def test_empty_texts_have_the_thresholds_severity(hostile, labels):
+    model = toxicity.fit(hostile, labels)
+    by = {r.doc_id: r for r in toxicity.score(hostile, model).collect()}
+    assert by[4].severity == by[5].severity == pytest.approx((1 / (1 + np.exp(model.thresholds))).sum(), abs=1e-6) and not by[4].toxic
+    own = quality.fit(hostile, labels)
+    assert {r.doc_id: r.score for r in quality.score(hostile, own).collect()}[4] == pytest.approx(own.bias, abs=1e-6)
+
+
+def test_identifiers_that_arent_numbers(spark):
+    docs = spark.createDataFrame([("d0", "one text", "s"), ("d1", "one text", "s")], "doc_id string, text string, source string")
+    for run in (minhash.groups, exact.find, exact.dedup, lines.find, fingerprint.fingerprint, shards.assign):
+        with pytest.raises(ValueError, match="whole number"):
+            run(docs)
+    assert mixing.mix(docs).count() >= 1
+
+
 def test_lines(hostile):
     got = rows(lines.find(hostile))
     assert got and all(r[0] is not None or r[2] is not None for r in got)
@@ -123,7 +140,7 @@ def test_stages(spark, hostile, labels, tmp_path):
     import corpus_pipeline
 
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    documents = hostile.select("doc_id", "text", "lang", "source", "n_chars")
+    documents = hostile
     for start, least in ((documents, [14, 12, 10, 1, 1]), (documents.limit(0), [0] * 5)):
         docs = start
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):

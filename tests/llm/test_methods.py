@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesselar.llm import bpe, exact, fingerprint, hosts, kernel, lines, links, minhash, mixing, quality, shards, toxicity
+from tesselar.llm import bpe, exact, fingerprint, hosts, kernel, lines, links, minhash, mixing, quality, shards, shared, toxicity
 
 from .conftest import prose
 
@@ -95,9 +95,91 @@ def test_forest_connects_what_all_pairs_connect():
         assert components([(i, j) for i, j, _ in edges]) == components([(i, j) for i in range(n) for j in range(n) if s[i, j] >= 0.9])
 
 
+def test_shared_keys_stream_any_key():
+    """Whatever the batches, the rows of keys with more than one row come out, numbered within their key."""
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        k = np.sort(r.integers(0, 8, r.integers(0, 40)))
+        d = np.arange(len(k))
+        cuts = np.sort(r.integers(0, len(k) + 1, 6))
+        parts = np.split(np.arange(len(k)), cuts)
+        got = [x for b in links.several([pa.RecordBatch.from_arrays([pa.array(k[p]), pa.array(d[p])], ["key", "doc_id"]) for p in parts]) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == [(int(x), i, i - k.tolist().index(x)) for i, x in enumerate(k) if (k == x).sum() > 1]
+
+
+def test_one_key_of_millions_stays_in_constant_memory():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(10_000, 7)), pa.array(np.arange(10_000))], ["key", "doc_id"])
+    tracemalloc.start()
+    n, last = 0, None
+    for out in links.several(batch for _ in range(1000)):
+        n, last = n + out.num_rows, out.column(2)[-1].as_py()
+    assert (n, last) == (10_000_000, 9_999_999) and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_blocks_of_a_large_key_connect_what_one_task_would(spark):
+    """Forty nodes share one key and are alike if their numbers are near; blocks of 3 give the components of all pairs."""
+    r = random.Random(5)
+    values = sorted(r.sample(range(400), 40))
+    keys = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 5), (2, 20), (3, 6)], "key long, doc_id long").repartition(3)
+    payload = spark.createDataFrame([(i, 1000 + i, values[i].to_bytes(8, "little")) for i in range(40)], "node long, rep long, data binary")
+    load = lambda p: np.array([int.from_bytes(x, "little") for x in p.to_pylist()])
+    compare = lambda d, i, js: (np.abs(d[js] - d[i]) <= 12).astype(float)
+    found = [{(x.a, x.b) for x in links.linked(keys, payload, load, compare, 1.0, block=b).collect()} for b in (1 << 14, 3)]
+
+    def parts(edges):
+        up = {i: i for i in range(1000, 1040)}
+        for _ in range(40):
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    every = {(1000 + i, 1000 + j) for i in range(40) for j in range(i) if abs(values[i] - values[j]) <= 12}
+    assert parts(found[0]) == parts(found[1]) == parts(every) and len(set(parts(every).values())) > 2
+
+
+def test_beyond_what_may_be_broadcast(spark):
+    """The branches of tables that don't fit a broadcast give the rows of those that do."""
+    rows = spark.createDataFrame([(i % 7 if i < 60 else None, i) for i in range(70)], "k long, x long")
+    keys = spark.createDataFrame([(1,), (3,), (9,)], "k long")
+    for f in (shared.in_keys, shared.without_keys):
+        small, large = (sorted(f(rows, F.col("k"), keys, max_bytes=m).collect(), key=str) for m in (1 << 20, 0))
+        assert small == large and small
+    groups = spark.createDataFrame([(1, 9, "a"), (2, 8, "b"), (3, 2, "c")], "k long, n long, v string")
+    want = sorted(shared.keyed(rows, groups, ["k"]).collect())
+    for most, hot in ((0, 5), (96, 5), (0, 100)):
+        assert sorted(shared.keyed(rows, groups, ["k"], max_bytes=most, hot=hot).collect()) == want and len(want) == 27
+
+
+def test_repeats_of_an_identifier(spark):
+    """Repeated rows cost a row each; an identifier with different texts has the links of all of them."""
+    a, b = prose(71, 120), prose(72, 120)
+    near = a.replace(a.split()[5], "other", 1)
+    rows = [(5, a)] * 200 + [(9, b)] * 3 + [(7, near), (7, b), (3, prose(73, 80)), (11, b)]
+    want = {(7, 5), (9, 5), (11, 5)}
+    for _ in range(2):
+        docs = frame(spark, rows)
+        assert {tuple(r) for r in minhash.groups(docs).collect()} == want
+    keys = minhash.sketches(frame(spark, rows))
+    nodes, copies, counts = links.collapse(keys)
+    assert (nodes.count(), counts.count(), copies.count()) == (4, 2, 205)
+    got = [sorted(fingerprint.fingerprint(frame(spark, rows)).select("doc_id", "linked_id", "score").distinct().collect()) for _ in range(2)]
+    assert got[0] == got[1] and {r.doc_id: r.linked_id for r in got[0]} == {3: None, 5: 7, 7: 9, 9: 7, 11: 7}
+
+
+def test_equal_digests_of_different_texts(spark, monkeypatch):
+    """With a digest that tells nothing apart, only the bytes decide."""
+    monkeypatch.setattr(exact, "digests", lambda text: (F.length(text).cast("long"), F.lit(1).cast("long")))
+    docs = frame(spark, [(4, "ab"), (2, "cd"), (3, "ab"), (5, "cd"), (6, "xyz"), (7, "xyz"), (7, "xyz"), (8, "q")])
+    assert sorted(map(tuple, exact.find(docs).collect())) == [(4, 3), (5, 2), (7, 6), (7, 6)]
+    assert sorted(map(tuple, exact.dedup(docs).collect())) == [(2, "cd"), (3, "ab"), (6, "xyz"), (8, "q")]
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(8)
-    pool = ["".join(r.choice("abcde ") for _ in range(r.choice([20, 24, 25, 30, 31]))) for _ in range(40)]
+    pool = ["".join(r.choice("abcde ") for _ in range(r.choice([1, 3, 11, 12, 20, 24, 25, 40]))) for _ in range(40)]
 
     def edited(s):
         k, kind = r.randrange(len(s)), r.randrange(4)
@@ -113,11 +195,13 @@ def test_lines_against_brute_force(spark):
                 last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
         return d[-1]
 
-    occurrences = [((i, k), x) for i, t in docs for k, x in enumerate(t.split("\n")) if len(x) >= lines.MIN_CHARS]
+    occurrences = [((i, k), x) for i, t in docs for k, x in enumerate(t.split("\n")) if x.strip()]
     first = {}
     for p, x in occurrences:
         first.setdefault(x, p)
-    keep = {x: min((q, d) for y, q in first.items() if abs(len(x) - len(y)) <= 1 and (d := distance(x, y)) <= 1) for x in first}
+    # Below NEAR_CHARS only an equal line counts.
+    near = lambda x, y: x == y or min(len(x), len(y)) >= lines.NEAR_CHARS and abs(len(x) - len(y)) <= 1
+    keep = {x: min((q, d) for y, q in first.items() if near(x, y) and (d := distance(x, y)) <= 1) for x in first}
     want = {(*p, *keep[x][0], keep[x][1]) for p, x in occurrences if keep[x][0] != p}
     got = {tuple(x) for x in lines.find(frame(spark, docs)).collect()}
     assert got == want and any(x[4] for x in want)
@@ -228,6 +312,37 @@ def test_shards_keep_links_and_sizes(spark, near):
     assert own.weight == by_hash.weight and own.cut_weight < 0.5 * by_hash.cut_weight
 
 
+def test_votes_against_brute_force(spark):
+    r = random.Random(12)
+    docs = {i: {f"line {r.randrange(12)}" for _ in range(r.randint(1, 4))} for i in range(40)}
+    at = {i: r.randrange(4) for i in docs}
+    links_ = shards.shared_lines(frame(spark, [(i, "\n".join(x)) for i, x in docs.items()]))
+    labels = spark.createDataFrame(list(at.items()), "doc_id long, shard int")
+    got = {x.doc_id: (x.shard, x.best, round(x.gain, 6)) for x in shards.propose(links_, labels, F.lit(True), 4).collect()}
+    want = {}
+    for i, mine in docs.items():
+        votes = [0.0] * 4
+        for x in mine:
+            others = [j for j, y in docs.items() if x in y]
+            for j in others:
+                if j != i:
+                    votes[at[j]] += 1 / (len(others) - 1)
+        best = max(range(4), key=lambda s: (round(votes[s], 9), s == at[i], -s))
+        if best != at[i] and votes[best] - votes[at[i]] > 1e-9:
+            want[i] = (at[i], best, round(votes[best] - votes[at[i]], 6))
+    assert got == want and len(want) > 5
+
+
+def test_who_is_within_a_quota(spark):
+    r = random.Random(13)
+    rows = [(i, r.randrange(3), r.randrange(4), r.randrange(5)) for i in range(200)]
+    quota = {0: 17, 1: 0, 2: 1000}
+    df = spark.createDataFrame(rows, "doc_id long, shard int, bin long, digest long").repartition(3)
+    got = {x.doc_id for x in shards._within(df, ["shard"], spark.createDataFrame(list(quota.items()), "shard int, most long")).collect()}
+    want = {x[0] for s, q in quota.items() for x in sorted((x for x in rows if x[1] == s), key=lambda x: (x[2], x[3], x[0]))[:q]}
+    assert got == want
+
+
 def test_short_lines_link_documents(spark):
     docs = frame(spark, [(0, "Les.\n\n  "), (1, "Les.\n\n  "), (2, "other\n\n  ")])
     assert sorted((r.doc_id, r.n) for r in shards.shared_lines(docs).collect()) == [(0, 2), (1, 2)]
@@ -290,6 +405,78 @@ def test_held_out_accuracy(spark):
     assert np.mean([good[i] == (y == 0) for i, y in truth.items()]) >= 0.95
 
 
+def test_ordinal_likelihood_and_optimum():
+    """Gradients and curvature against differences of the likelihood as it is defined; the fit against other points."""
+    r = np.random.default_rng(1)
+    n, d, k = 120, 4, 3
+    x, grade, weight = r.standard_normal((n, d)), np.append(r.integers(0, k + 1, n - 4), np.arange(4)), r.random(n) + 0.1
+    weight /= weight.sum()
+    s = lambda v: 1 / (1 + np.exp(-v))
+
+    def value(w, theta):
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        z = x @ w
+        return -(weight * np.log(s(edges[grade + 1] - z) - s(edges[grade] - z))).sum()
+
+    w0, t0, e = r.standard_normal(d), np.array([-1.0, 0.2, 1.5]), 1e-5
+    got, by_z, by_theta, hessian = toxicity.likelihood(x @ w0, t0, grade, weight)
+    assert got == pytest.approx(value(w0, t0))
+    unit = np.eye(max(d, k)) * e
+    assert by_z @ x == pytest.approx([(value(w0 + u[:d], t0) - value(w0 - u[:d], t0)) / (2 * e) for u in unit], abs=1e-6)
+    assert by_theta == pytest.approx([(value(w0, t0 + u[:k]) - value(w0, t0 - u[:k])) / (2 * e) for u in unit[:k]], abs=1e-6)
+    other = lambda t: toxicity.likelihood(x @ w0, t, grade, weight)[2]
+    assert hessian == pytest.approx(np.array([(other(t0 + u[:k]) - other(t0 - u[:k])) / (2 * e) for u in unit[:k]]), abs=1e-6)
+
+    l1 = 0.01
+    doc, at = np.repeat(np.arange(n), d), np.tile(np.arange(d), n)
+    w, theta = toxicity.ordinal_fit(doc, at, x.ravel(), grade, weight, d, l1=l1, rounds=2000)
+    best = value(w, theta) + l1 * np.abs(w).sum()
+    for size in (1e-3, 0.05, 0.5):
+        for move in size * r.standard_normal((200, d + k)):
+            t = theta + move[d:]
+            if (np.diff(t) > 0).all():
+                assert best <= value(w + move[:d], t) + l1 * np.abs(w + move[:d]).sum() + 1e-9
+
+
+def test_fits_take_as_many_jobs_whatever_the_partitions(spark):
+    train = texts_of_two_kinds(80, 3)
+    docs = spark.createDataFrame([r[:2] for r in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 1 - r[2]) for r in train], "doc_id long, toxic int, quality int")
+    sc, jobs = spark.sparkContext, {}
+    for parts in (4, 40):
+        for module in (toxicity, quality):
+            sc.setJobGroup(f"{module.__name__}-{parts}", "")
+            module.fit(docs.repartition(parts), labels)
+            jobs[module, parts] = len(sc.statusTracker().getJobIdsForGroup(f"{module.__name__}-{parts}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all(jobs[m, 4] == jobs[m, 40] > 0 for m in (toxicity, quality))
+
+
+def test_ratio_scaling_and_score_against_brute_force():
+    """Log-count ratios, unit length and the score of the quality model, from dictionaries."""
+    r = random.Random(21)
+    rows = [np.array(sorted(r.sample(range(50), 12)), np.uint32) for _ in range(60)]
+    y = np.array([float(int(x[0]) % 2) for x in rows])
+    model = quality.fit_rows(rows, y, blend=0.0)
+    good, bad = collections.Counter(), collections.Counter()
+    for x, t in zip(rows, y):
+        (good if t else bad).update(x.tolist())
+    size = [sum(c.values()) + (1 << quality.BITS) for c in (good, bad)]
+    ratio = {b: math.log((good[b] + 1) / size[0]) - math.log((bad[b] + 1) / size[1]) if good[b] + bad[b] >= 3 else 0.0 for b in range(50)}
+    assert model.square[:50] == pytest.approx([ratio[b] ** 2 for b in range(50)], rel=1e-5)
+    scaled = [{b: ratio[b] / math.sqrt(sum(ratio[c] ** 2 for c in x.tolist())) for b in x.tolist()} for x in rows]
+    w = {b: model.weight[b] / ratio[b] if ratio[b] else 0.0 for b in range(50)}
+    margins = [sum(w[b] * v for b, v in x.items()) + model.bias for x in scaled]
+    assert np.mean([(m > 0) == (t > 0) for m, t in zip(margins, y)]) > 0.9
+    text = pa.array(["one two two", "", "one"])
+    bucket, doc = quality.features(text)
+    whole = quality.NbsvmModel(np.arange(1 << quality.BITS) % 7 - 3.0, np.arange(1 << quality.BITS) % 5 + 1.0, 0.5)
+    for i, got in enumerate(whole.score(text)):
+        own = bucket[doc == i]
+        norm = math.sqrt(sum(whole.square[b] for b in own)) or 1e-6
+        assert got == pytest.approx(sum(whole.weight[b] for b in own) / norm + 0.5)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     r = np.random.default_rng(0)
     x, y = r.standard_normal((60, 4)), np.sign(r.standard_normal(60))
@@ -310,6 +497,85 @@ def test_host_reputation_falls_with_bad_pages(spark):
     assert got[1].upper_bound >= got[1].posterior_mean
 
 
+def test_hosts_that_fall_against_sql(spark):
+    """A table in which good and bad hosts share domains and suffixes: keep is both, and SQL gives the same rows."""
+    r, pages, outcomes = random.Random(31), [], []
+    for h in range(30):
+        rate = 0.05 if h % 5 == 0 else 0.95
+        host = f"{'www.' if h % 2 else ''}h{h}.site{h % 7}.{('com', 'co.uk', 'org')[h % 3]}" if h % 10 else f"10.0.0.{h}"
+        for k in range(r.randint(1, 40)):
+            pages.append((len(pages), f"https://{host}/{k}"))
+            if r.random() < 0.8:
+                outcomes.append((len(pages) - 1, int(r.random() < rate)))
+    pages += [(len(pages), None), (len(pages) + 1, "https://h1.site1.co.uk./x"), (len(pages) + 2, "http://[::1]:80/"), (0, pages[0][1])]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    con.sql("CREATE TABLE told (page_id BIGINT, good BIGINT)")
+    con.executemany("INSERT INTO told VALUES (?, ?)", outcomes)
+    df = hosts.decide(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good long"))
+    want = con.sql(hosts.sql("known AS (SELECT * FROM told)"))
+    got = [tuple(x[c] for c in want.columns) for x in df.collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+    keep = [x[want.columns.index("keep")] for x in got]
+    assert 20 < keep.count(False) < len(keep) - 20
+
+
+def test_suffix_rules_and_addresses(spark, tmp_path):
+    (tmp_path / "list").write_text("// comment\ncom\nuk\nco.uk\n*.ck\n!www.ck\na.b.net\nрф\n\n")
+    rules = hosts.read_suffixes(str(tmp_path / "list"))
+    assert rules == ("com", "uk", "co.uk", "*.ck", "!www.ck", "a.b.net", "рф", "xn--p1ai")
+    want = {
+        "x.y.com": ("com", "y.com"), "y.co.uk": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.uk": ("uk", "x.uk"), "p.q.r.ck": ("r.ck", "q.r.ck"), "www.ck": ("ck", "www.ck"),
+        "s.www.ck": ("ck", "www.ck"), "z.y.a.b.net": ("a.b.net", "y.a.b.net"), "b.net": ("net", "b.net"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    got = {x.h: (x.s, x.d) for x in df.select("h", hosts.suffix_of(F.col("h"), rules).alias("s"), hosts.domain_of(F.col("h"), rules).alias("d")).collect()}
+    assert got == want
+    urls = {"http://a.b/fr/825?page=2": 825, "https://a.b/25#top": 25, "http://a.b/853/": 853, "http://a.b/x9": None, "http://a.b/": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {x.u: x.n for x in df.select("u", hosts.document_of(F.col("u")).alias("n")).collect()} == urls
+
+
+def test_the_mixed_rows_arent_shuffled(spark):
+    """Whole rows meet their source's plan without an exchange above them, and get the rows of a plan too large for that."""
+    docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string").repartition(3).checkpoint()
+    mixed = mixing.mix(docs)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "RepartitionByExpression" not in plan
+    p = mixing.plan(mixing.prepared(docs)).checkpoint()
+    small, large = (sorted(map(tuple, mixing.by_source(docs, "source", p, max_bytes=m).collect()), key=str) for m in (1 << 20, 0))
+    assert small == large and len(small) == 60
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Toxic texts go, one of each group of copies stays, what is left is mixed to its budget and tokenised."""
+    import corpus_pipeline
+
+    two = texts_of_two_kinds(240, 5)
+    rows = [(i, t + f"\nid{i}", "en", f"s{i % 3}", len(t)) for i, t, _ in two]
+    near = [(1000 + i, rows[i][1].replace(rows[i][1].split()[7], "changed", 1), "en", "s9", 1) for i in range(0, 40, 2)]
+    same = [(2000 + i, rows[i][1], "en", "s9", 1) for i in range(1, 40, 2)]
+    spark.createDataFrame(rows + near + same, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1 - y, y) for i, _, y in two], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    text = {r[0]: r[1] for r in rows + near + same}
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    clean = {r.doc_id for r in toxicity.score(docs, model).collect() if not r.toxic}
+    shingles = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i in clean for w in [text[i].lower().replace(".", " ").split()]}
+    kept = []
+    for i in sorted(clean):
+        if not any(jaccard(shingles[i], shingles[j]) > 0.6 for j in kept):
+            kept.append(i)
+    source = {r[0]: r[3] for r in rows + near + same}
+    left = spark.createDataFrame([(i, text[i], source[i]) for i in kept], "doc_id long, text string, source string")
+    want = {r.doc_id: r.copies for r in mixing.sample(left).collect()}
+    assert dict(collections.Counter(r.doc_id for r in out)) == want and len(clean) < len(text) - 40
+    vocab = bpe.vocabulary(bpe.PATH)
+    assert all(b"".join(vocab.bytes[t] for t in r.tokens).decode() == text[r.doc_id] and r.round_trip for r in out)
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as entry
 
