@@ -8,15 +8,19 @@ source are taken in ascending order of their keys while the running sum of their
 
 The running sum has no single-task sort of a source: keys are first counted in `BINS` monotone bins per source, and
 only the bin in which the rest runs out is sorted. What a source keeps is then everything up to one cutoff, so that
-applying the sample to wide rows is a map, not a join on documents.
+applying the sample to wide rows is a map, not a join on documents: the plan, one row for each source, is counted and
+goes to the rows while it fits `shared.MAX_BROADCAST_BYTES` (about 300,000 sources with names of ten letters). A table of
+more sources than that is joined by source; none of its sources can be hot unless its rows are.
 
 Tokens are runs of anything but space, tab and line ends. A weight is 1 / (1 + 4 * symbols / tokens), with the symbols
 #$%&*|!<>{}=~^; a column of weights may be given instead, where a null or a weight not above 0 counts as 1e-6.
 
 Cases: a null source is a source of its own; a null or empty text has no tokens and weight 1, and stays if its turn
-comes before the budget runs out; a null identifier is sampled as the identifier ''; rows that repeat an identifier in
-a source share key and order, and stay or go by their tokens; a source without tokens is kept once; a remainder of 0 takes nothing; an empty table
-gives an empty result. Target weights that name no source of the table, or none above 0, raise ValueError.
+comes before the budget runs out; texts are read whole; a null identifier is sampled as the identifier ''; rows that
+repeat an identifier in a source share key and order, and stay or go by their tokens; keys that tie go by identifier,
+then tokens; a source without tokens is kept once; a remainder of 0 takes nothing; an empty table gives an empty result;
+other columns are kept, whatever their names. Identifiers may be of any type. Target weights that name no source of the
+table, or none above 0, raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, table, whole
+from .shared import MAX_BROADCAST_BYTES, checkpointed, table, whole
 
 TEMPERING = 0.7
 SEED = 11
@@ -57,6 +61,17 @@ def prepared(docs: DataFrame, *, weight: str | None = None, seed: int = SEED) ->
     return rows.select("source", "doc_id", "mix_tokens", sampling_key(F.col("doc_id"), F.col("weight"), seed).alias("mix_key"))
 
 
+def by_source(df: DataFrame, left: str, plan: DataFrame, how: str = "inner", *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with the row of plan, a frame by mix_source, that has the same source; null is a source.
+
+    The plan's size, its names included, is measured; it is broadcast if it fits max_bytes.
+    """
+    size = plan.select(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 96)).first()[0] or 0
+    named = plan.withColumnRenamed("mix_source", "other_source")
+    named = F.broadcast(named) if size <= max_bytes else named
+    return df.join(named, F.col(left).eqNullSafe(F.col("other_source")), how).drop("other_source")
+
+
 def plan(rows: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, tempering: float = TEMPERING) -> DataFrame:
     """(mix_source, epochs, cut_bin, cut_key, cut_id, cut_tokens) for each source of prepared rows.
 
@@ -86,22 +101,17 @@ def plan(rows: DataFrame, *, targets: dict[str, float] | None = None, budget: in
         )
     )
 
-    def of(df: DataFrame, left: str, other: DataFrame, how: str = "inner") -> DataFrame:
-        """df with the row of other, a frame by mix_source, that has the same source; null is a source."""
-        named = other.withColumnRenamed("mix_source", "other_source")
-        return df.join(named, F.col(left).eqNullSafe(F.col("other_source")), how).drop("other_source")
-
     order = Window.partitionBy("mix_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = binned.withColumn("before", F.coalesce(F.sum("in_bin").over(order), F.lit(0)))
     # The bin in which the rest runs out: the last that begins within it.
-    edge = of(before, "mix_source", budgets).where("before <= rest").groupBy("mix_source").agg(F.max_by(F.struct("bin", "before", "rest"), "bin").alias("e"))
+    edge = by_source(before, "mix_source", budgets).where("before <= rest").groupBy("mix_source").agg(F.max_by(F.struct("bin", "before", "rest"), "bin").alias("e"))
     edge = checkpointed(edge.select("mix_source", F.col("e.bin").alias("edge_bin"), "e.before", "e.rest"))
-    cuts = of(rows, "source", edge).where(bin_ == F.col("edge_bin"))
+    cuts = by_source(rows, "source", edge).where(bin_ == F.col("edge_bin"))
     inside = Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
     fits = cuts.withColumn("sum", F.col("before") + F.sum("mix_tokens").over(inside)).where("sum <= rest")
     last = fits.groupBy(F.col("source").alias("mix_source")).agg(F.max(F.struct("mix_key", "doc_id", "mix_tokens")).alias("c"))
     # If not even the first row of that bin fits, c is null: all earlier bins are taken and nothing of this one.
-    ends = of(of(budgets, "mix_source", edge.select("mix_source", "edge_bin"), "left"), "mix_source", last, "left")
+    ends = by_source(by_source(budgets, "mix_source", edge.select("mix_source", "edge_bin"), "left"), "mix_source", checkpointed(last), "left")
     return ends.select("mix_source", "epochs", F.col("edge_bin").alias("cut_bin"), F.col("c.mix_key").alias("cut_key"), F.col("c.doc_id").alias("cut_id"), F.col("c.mix_tokens").alias("cut_tokens"))
 
 
@@ -116,9 +126,8 @@ def copies(key: Column, doc_id: Column, n: Column) -> Column:
 def sample(docs: DataFrame, *, weight: str | None = None, seed: int = SEED, **how) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the rows that are taken at least once."""
     rows = checkpointed(prepared(docs, weight=weight, seed=seed))
-    p = plan(rows, **how)
     return (
-        rows.join(p, rows.source.eqNullSafe(p.mix_source))
+        by_source(rows, "source", checkpointed(plan(rows, **how)))
         .select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), copies(F.col("mix_key"), F.col("doc_id"), F.col("mix_tokens")).alias("copies"))
         .where("copies > 0")
     )
@@ -130,8 +139,7 @@ def mix(docs: DataFrame, *, weight: str | None = None, seed: int = SEED, **how)
     n = tokens(F.col("text"))
     rows = whole(docs, source=F.col("source"), doc_id=F.col("doc_id"), n_tokens=n, weight=F.col(f"`{weight}`") if weight else quality_weight(F.col("text"), n))
     keyed = rows.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"), seed))
-    # A plan has one row for each source.
-    taken = keyed.join(p, keyed.source.eqNullSafe(p.mix_source)).withColumn("copies", copies(F.col("key"), F.col("doc_id"), F.col("n_tokens"))).where("copies > 0")
+    taken = by_source(keyed, "source", p).withColumn("copies", copies(F.col("key"), F.col("doc_id"), F.col("n_tokens"))).where("copies > 0")
     return taken.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
 
 
