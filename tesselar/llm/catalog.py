@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op7_lines": lines.ORACLE_SQL,
     "op8_exact": exact.ORACLE_SQL,
     "op10_hosts": hosts.ORACLE_SQL,
 }

@@ -162,3 +162,20 @@ def find(docs: DataFrame, *, min_chars: int = MIN_CHARS, near_chars: int = NEAR_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of the documents that repeat an earlier line, but for one edit at most."""
     return find(table(spark, sf_dir, "documents"))
+
+
+#: Two lines are within an edit if taking out one character at the same place makes them equal, or if one is a variant of the other.
+ORACLE_SQL = f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+every AS (SELECT * FROM l WHERE regexp_matches(line, '\\S')),
+d AS (SELECT line, min({{'d': doc_id, 'n': line_no}}) AS first FROM every GROUP BY line),
+cut AS (SELECT line, first, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM d WHERE length(line) >= {NEAR_CHARS})),
+lower_ AS (SELECT v, i, min(first) AS first FROM cut GROUP BY ALL),
+near AS (
+  SELECT c.line, o.first FROM cut c JOIN lower_ o ON o.v = c.v AND o.i = c.i
+  UNION ALL SELECT c.line, o.first FROM cut c JOIN d o ON o.line = c.v AND length(o.line) >= {NEAR_CHARS}
+  UNION ALL SELECT o.line, c.first FROM cut c JOIN d o ON o.line = c.v AND length(o.line) >= {NEAR_CHARS}),
+best AS (SELECT line, min(first) AS first FROM near GROUP BY line),
+keep AS (SELECT d.line, CASE WHEN best.first < d.first THEN best.first ELSE d.first END AS first, best.first IS NOT NULL AND best.first < d.first AS other FROM d LEFT JOIN best USING (line))
+SELECT doc_id, line_no, first.d AS keep_doc_id, first.n AS keep_line_no, other::INT AS distance FROM every JOIN keep USING (line) WHERE doc_id <> first.d OR line_no <> first.n
+"""

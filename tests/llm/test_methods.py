@@ -357,7 +357,7 @@ def test_oracles(spark, sf_dir):
     con = duckdb.connect()
     for name in ("documents", "labels", "pages"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    for module in (exact, mixing, hosts):
+    for module in (exact, mixing, hosts, lines):
         df = module.query(spark, sf_dir)
         want = con.sql(module.ORACLE_SQL)
         order = [df.columns.index(c) for c in want.columns]
