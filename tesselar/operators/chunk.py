@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import plain
+from tesselar.session import checkpointed
 
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 320, 60, 20
 _HEADING = re.compile("(#{1,6})" + r"\s+" + "(.*)$")
@@ -86,10 +87,14 @@ def chunk(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, overlap: int = OVERL
 def numbered(chunks: DataFrame) -> DataFrame:
     """chunks with `id`, dense from 0 in the order of (doc_id, section, window).
 
-    Only one number per document passes through a single task; chunks are numbered within their documents.
+    Documents are cut into ranges and counted in order within each; only one number per range passes through a single
+    task. Chunks are numbered within their documents.
     """
     per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_doc.select("doc_id", before.alias("offset"))
+    # Written down, so that the ranges are the same whenever they are read.
+    placed = checkpointed(per_doc.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("range").agg(F.sum("n").alias("n")).select("range", before(Window.orderBy("range")).alias("first"))
+    offsets = placed.withColumn("inside", before(Window.partitionBy("range").orderBy("doc_id"))).join(F.broadcast(ranges), "range").select("doc_id", (F.col("first") + F.col("inside")).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "window")) - 1
     return chunks.withColumn("nth", nth).join(offsets, "doc_id").withColumn("id", F.col("offset") + F.col("nth")).drop("nth", "offset")

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its scan has fewer parts than there are; a large table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores, by the columns `by` if any are given, if its plan is estimated at too few bytes to fill them.
+
+    It is the optimiser's estimate that decides: no job runs for it, and a large table is left as it is.
+    """
+    spark = df.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(parts, *by) if size < parts * split else df
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column, k: int | None = None, name: str = "rank") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from tesselar.functions import text as T
 from tesselar.functions import vectors as V
 
-from . import dense, fusion, metrics
+from . import ann, dense, fusion, metrics, rerank
 from .common import ranked, spread, top
-from .lexical import LexicalIndex
+from .lexical import LexicalIndex, build
 
 MODES = tuple("bm25 vector rrf hybrid".split())
 #: The grid of BM25 parameters.
@@ -44,7 +45,7 @@ def _words_of(sentence: Column, variant: str, seed: int, drop_rate: float) -> Co
     if variant == "hard":
         words = T.content_words(sentence)
         keep = F.greatest(F.lit(3), F.round(F.size(words) * (1 - drop_rate)).cast("int"))
-        drawn = F.array_sort(F.transform(words, lambda w, i: F.struct(F.xxhash64(F.lit(seed), sentence, i).alias("h"), w.alias("w"))))
+        drawn = F.array_sort(F.transform(words, lambda w, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), sentence)).alias("h"), w.alias("w"))))
         return F.transform(F.slice(drawn, 1, keep), lambda x: x["w"])
     return F.split(T.clean_query(sentence), " ")
 
@@ -124,10 +125,106 @@ def modes(lexical: DataFrame, semantic: DataFrame, *, alphas: list[float], depth
     return out
 
 
-def ablation(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, *, groups: DataFrame | None = None, depth: int = 50, alphas: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
-    """(system, n, recall_at_1, .., mrr, ndcg, doc_recall_10) of every mode on queries with one target each."""
-    runs = modes(lexical, semantic, alphas=list(alphas), depth=depth)
-    return reduce(DataFrame.unionByName, [metrics.single_target(target_ranks(run, queries, groups)).withColumn("system", F.lit(name)) for name, run in runs.items()])
+def reranked(run: DataFrame, queries: DataFrame, chunks: DataFrame, reranker: rerank.Reranker, *, depth: int = 25, k: int = 10) -> DataFrame:
+    """(qid, doc_id, rank, score): the first `depth` of each query of a run in the order of a re-ranker, k of them."""
+    pool = run.where(F.col("rank") <= depth).join(chunks.select("doc_id", "title", "text"), "doc_id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+    out = reranker.rerank(pool.select("qid", "doc_id", "rank", "query", "title", "text", F.lit(0.0).alias("vector_score")), top_k=k)
+    return out.select("qid", "doc_id", "rank", F.col("reranked").alias("score"))
+
+
+def ablation(
+    lexical: DataFrame,
+    semantic: DataFrame,
+    queries: DataFrame,
+    *,
+    groups: DataFrame | None = None,
+    depth: int = 50,
+    alphas: tuple[float, ...] = (0.3, 0.5, 0.7),
+    reranker: rerank.Reranker | None = None,
+    chunks: DataFrame | None = None,
+    rerank_depth: int = 25,
+    rerank_from: str | None = None,
+) -> DataFrame:
+    """(system, n, recall_at_1, .., mrr, ndcg, doc_recall_10, ceiling) of every mode on queries with one target each.
+
+    With a re-ranker one more system re-ranks `rerank_from`, by default the hybrid whose alpha has the best nDCG; its
+    ceiling is the share of targets in the pool that it was given, above which no order of the pool can get.
+    """
+    runs = modes(lexical, semantic, alphas=list(alphas), depth=max(depth, rerank_depth if reranker else 0))
+    single = lambda run: metrics.single_target(target_ranks(run, queries, groups))
+    rows = [single(run.where(F.col("rank") <= depth)).select(F.lit(name).alias("system"), "*", F.lit(None).cast("double").alias("ceiling")) for name, run in runs.items()]
+    if reranker is not None:
+        if chunks is None:
+            raise ValueError("a re-ranker needs the chunks")
+        if rerank_from is None:
+            hybrids = reduce(DataFrame.unionByName, [r for r, name in zip(rows, runs) if name.startswith("hybrid")])
+            # One row for each alpha.
+            rerank_from = hybrids.orderBy(F.round("ndcg", 9).desc(), "system").first()["system"]
+        pool = runs[rerank_from]
+        reach = rerank.ceiling(pool, queries.select("qid", F.col("target").alias("doc_id")), rerank_depth).select("ceiling")
+        after = single(reranked(pool, queries, chunks, reranker, depth=rerank_depth))
+        rows.append(after.crossJoin(reach).select(F.lit(f"{rerank_from} + {reranker.name}").alias("system"), *rows[0].columns[1:]))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _seconds(df: DataFrame) -> float:
+    """What computing all of df takes on the clock."""
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def measure_ann(vectors: DataFrame, queries: DataFrame, *, k: int = 10, efs: tuple[int, ...] = (32, 64, 128, 256), m: int = ann.M, ef_build: int = ann.EF_BUILD, shards: int | None = None) -> DataFrame:
+    """(ef, k, recall, n_docs, n_queries, n_zero, dim, build_seconds, exact_ms, ms, speedup) of graphs against exact search.
+
+    Both search the same batch of queries (qid, vec); times are a query's share of the clock for the whole batch. Queries
+    whose vector is zero have no nearest neighbours: they are counted and left out; ValueError if there are no others.
+    """
+    spark = vectors.sparkSession
+    some = queries.where(~V.is_zero(F.col("vec"))).persist()
+    n, every = some.count(), queries.count()
+    if not n:
+        raise ValueError("every query has the zero vector: there is nothing to compare")
+    began = time.perf_counter()
+    graph = ann.build(vectors, m=m, ef=ef_build, shards=shards)
+    graph.nodes = graph.nodes.persist()
+    n_docs = graph.nodes.count()
+    built = time.perf_counter() - began
+    exact = dense.search(vectors, some, k=k).persist()
+    exact_ms = 1000 * _seconds(exact) / n
+    dim = len(some.first()["vec"])
+    rows = []
+    for ef in efs:
+        found = graph.search(some, k=k, ef=ef).persist()
+        ms = 1000 * _seconds(found) / n
+        rows.append((ef, k, metrics.neighbour_recall(exact, found, k).first()["recall"], n_docs, n, every - n, dim, built, exact_ms, ms, exact_ms / ms))
+        found.unpersist()
+    for df in (some, graph.nodes, exact):
+        df.unpersist()
+    return spark.createDataFrame(rows, "ef int, k int, recall double, n_docs long, n_queries long, n_zero long, dim int, build_seconds double, exact_ms double, ms double, speedup double")
+
+
+def ann_crossover(datasets: dict[str, tuple[DataFrame, DataFrame]], *, n_queries: int = 200, **how) -> DataFrame:
+    """measure_ann for each dataset (vectors, query vectors) by name, with `dataset`: where graphs begin to pay."""
+    parts = [measure_ann(v, q.orderBy("qid").limit(n_queries), **how).withColumn("dataset", F.lit(name)) for name, (v, q) in datasets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stemming(docs: DataFrame, queries: DataFrame, qrels: DataFrame, *, depth: int = 100, iterations: int = 10_000) -> DataFrame:
+    """One row: vocabulary, build time, nDCG@10 and recall@100 of a plain and a stemmed index, delta and p of the nDCG."""
+    got, per = {}, {}
+    for name in ("plain", "stemmed"):
+        began = time.perf_counter()
+        index = build(docs, stem=name == "stemmed")
+        got[f"vocab_{name}"] = index.frequencies().count()
+        got[f"build_{name}_s"] = time.perf_counter() - began
+        scores = metrics.per_query(qrels, top(index.score(queries), depth).select("qid", "doc_id", "score"), (10, 100)).persist()
+        means = {r["k"]: r for r in scores.groupBy("k").agg(F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall")).collect()}
+        got |= {f"ndcg10_{name}": means[10]["ndcg"], f"recall100_{name}": means[100]["recall"]}
+        per[name] = scores.where("k = 10")
+        index.release()
+    test = metrics.paired_bootstrap(per["plain"], per["stemmed"], iterations=iterations)
+    return test.select(*[F.lit(v).alias(n) for n, v in got.items()], "delta", "p_value", "n")
 
 
 def drop_self(run: DataFrame) -> DataFrame:
@@ -163,9 +260,9 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
 
 def param_grid(index: LexicalIndex, queries: DataFrame, qrels: DataFrame, *, k1s=K1S, bs=BS, depth: int = 100) -> DataFrame:
     """(k1, b, ndcg) at 10 over the grid, all settings from one pass over the postings."""
-    scored = index.score_grid(queries, [(k, b) for k in k1s for b in bs])
+    scored = index.score_grid(queries, [(k, b) for k in k1s for b in bs], k=depth)
     name = lambda q: F.concat_ws("|", F.col("k1"), F.col("b"), q.cast("string"))
-    grid = scored.select("k1", "b").distinct()
+    grid = queries.sparkSession.createDataFrame([(float(k), float(b)) for k in k1s for b in bs], "k1 double, b double")
     run = ranked(scored.withColumn("qid", name(F.col("qid"))), ["qid"], F.round("score", 9).desc(), F.col("doc_id").asc(), k=depth).select("qid", "doc_id", "score")
     wanted = qrels.crossJoin(F.broadcast(grid)).withColumn("qid", name(F.col("qid")))
     per = metrics.per_query(wanted.select("qid", "doc_id", "rel"), run, (10,))

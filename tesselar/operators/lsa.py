@@ -1,8 +1,9 @@
 """Latent semantic vectors: TF-IDF and a distributed randomised singular value decomposition.
 
 The rows of the TF-IDF matrix stay distributed; what the driver holds is vocabulary by rank, bounded by `max_features`
-and `dim`, whatever the corpus. Each pass maps every partition to its part of A'(A X) and adds the parts by blocks of
-terms; the result is orthonormalised and goes out again.
+and `dim`, whatever the corpus. Each pass maps every core's share of the rows to its part of A'(A X) and adds the parts
+by blocks of terms, in single precision on the way; the result is orthonormalised and goes out again. Products run over
+blocks of rows that are dense in the terms they have, so that they are matrix products.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from tesselar.functions import text as T
 from .common import ranked, spread
 
 _PIECE = 1 << 14
+_BLOCKS = 16
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf) of docs (doc_id, text)."""
-    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    words = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -43,13 +45,12 @@ def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.select("doc_id", "term", (F.col("raw") / length).alias("weight"))
 
 
-def _times(first: np.ndarray, at: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The product of sparse rows with x; rows are first[i]:first[i + 1] of (at, w)."""
-    out = np.zeros((len(first) - 1, x.shape[1]))
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = np.add.reduceat(x[at] * w[:, None], first[:-1][some], axis=0)
-    return out
+def _dense(first: np.ndarray, at: np.ndarray, w: np.ndarray, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, matrix): sparse rows first[i]:first[i + 1] of (at, w) as a matrix with a column for each term they have."""
+    terms, column = np.unique(at, return_inverse=True)
+    out = np.zeros((len(first) - 1, len(terms)), kind)
+    out[np.repeat(np.arange(len(first) - 1), np.diff(first)), column] = w
+    return terms, out
 
 
 def _rows(batches, piece: int = _PIECE):
@@ -69,18 +70,15 @@ def _rows(batches, piece: int = _PIECE):
 def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
     """A'(A x) for the sparse rows (doc_id, at, w)."""
     v, k = x.shape
-    step = max(1, -(-v // 16))
-    held = rows.sparkSession.sparkContext.broadcast(x)
+    step = max(1, -(-v // _BLOCKS))
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(x.astype(np.float32))
 
     def part(batches):
-        m, z = held.value, np.zeros((v, k))
+        m, z = held.value, np.zeros((v, k), np.float32)
         for _, first, at, w in _rows(batches):
-            y = _times(first, at, w, m)
-            order = np.argsort(at, kind="stable")
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[order]
-            cuts = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]])) if len(at) else np.zeros(0, int)
-            if len(cuts):
-                z[at[order][cuts]] += np.add.reduceat(y[doc] * w[order][:, None], cuts, axis=0)
+            terms, a = _dense(first, at, w, np.float32)
+            z[terms] += a.T @ (a @ m[terms])
         for b in range(0, v, step):
             yield pa.RecordBatch.from_arrays([pa.array([b // step], pa.int32()), pa.array([z[b : b + step].tobytes()], pa.binary())], ["block", "z"])
 
@@ -88,12 +86,14 @@ def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[b] = total.get(b, 0) + np.frombuffer(z)
+                total[b] = total.get(b, 0) + np.frombuffer(z, np.float32).astype(np.float64)
         for b, z in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([z.tobytes()], pa.binary())], ["block", "z"])
 
-    summed = rows.mapInArrow(part, "block int, z binary").repartition(16, "block").mapInArrow(add, "block int, z binary")
-    got = {r["block"]: np.frombuffer(r["z"]).reshape(-1, k) for r in summed.toLocalIterator()}
+    # One part of vocabulary by rank for each core, not for each partition of the corpus.
+    shares = rows.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(part, "block int, z binary")
+    summed = shares.repartitionByRange(_BLOCKS, "block").mapInArrow(add, "block int, z binary")
+    got = {r["block"]: np.frombuffer(r["z"]).reshape(-1, k) for r in summed.collect()}
     held.unpersist()
     return np.concatenate([got[b] for b in sorted(got)]) if got else np.zeros((v, k))
 
@@ -132,7 +132,8 @@ class Lsa:
 
         def run(batches):
             for ids, first, at, w in _rows(batches):
-                v = _times(first, at, w, held.value)
+                terms, a = _dense(first, at, w)
+                v = a @ held.value[terms]
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "vec"])

@@ -1,12 +1,10 @@
 """Feature-based re-ranking of candidates, and a protocol for judges that live elsewhere.
 
-Candidates are (qid, doc_id, rank, query, title, text, vector_score). All features but proximity are Column
-expressions; proximity, the smallest window over the query's words, is an Arrow UDF over token positions.
+Candidates are (qid, doc_id, rank, query, title, text, vector_score). All features are Column expressions.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Protocol
 
 import pandas as pd
@@ -46,28 +44,32 @@ def title_share(query_words: Column, title_tokens: Column) -> Column:
     return F.size(F.filter(query_words, lambda w: F.array_contains(title_tokens, w))) / F.greatest(F.size(query_words), F.lit(1))
 
 
-def smallest_window(wanted: list[str], tokens: list[str]) -> float:
-    """1 if the distinct wanted words stand side by side, less the wider the smallest window that has them all is.
+def proximity(query_words: Column, doc_tokens: Column) -> Column:
+    """1 if the distinct words of the query stand side by side, less the wider the smallest window that has them all is.
 
     If some never occur, 0.35 of the share that does; 0 if fewer than two are wanted or fewer than two places match.
+    One pass over the places that match keeps where each word occurred last: a window that ends here begins at the
+    earliest of these.
     """
-    want = set(wanted)
-    at = [(i, t) for i, t in enumerate(tokens) if t in want]
-    if len(want) < 2 or len(at) < 2:
-        return 0.0
-    last: dict[str, int] = {}
-    best = math.inf
-    for i, t in at:
-        last.pop(t, None)
-        last[t] = i  # in order of last occurrence: the first entry is where the window begins
-        if len(last) == len(want):
-            best = min(best, i - next(iter(last.values())) + 1)
-    return 0.35 * len(last) / len(want) if math.isinf(best) else min(1.0, len(want) / best)
 
+    def of(want: Column) -> Column:
+        n = F.size(want)
+        at = F.filter(F.transform(doc_tokens, lambda t, i: F.struct(i.alias("i"), F.array_position(want, t).alias("p"))), lambda x: x["p"] > 0)
+        start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(2**31 - 1).alias("best"))
 
-@F.pandas_udf(ty.DoubleType())
-def proximity(query_words: pd.Series, doc_tokens: pd.Series) -> pd.Series:
-    return pd.Series([smallest_window(list(q), list(d)) for q, d in zip(query_words, doc_tokens)], dtype=float)
+        def step(state: Column, x: Column) -> Column:
+            last = F.transform(state["last"], lambda v, j: F.when(j == x["p"] - 1, x["i"]).otherwise(v))
+            # Bound once: the new list is looked at twice.
+            return F.get(F.transform(F.array(last), lambda y: F.struct(y.alias("last"), F.when(F.array_min(y) >= 0, F.least(state["best"], x["i"] - F.array_min(y) + 1)).otherwise(state["best"]).alias("best"))), 0)
+
+        def value(places: Column) -> Column:
+            end = F.aggregate(places, start, step)
+            found = F.get(F.transform(F.array(end), lambda e: F.when(F.array_min(e["last"]) >= 0, F.least(F.lit(1.0), n / e["best"])).otherwise(0.35 * F.size(F.filter(e["last"], lambda v: v >= 0)) / n)), 0)
+            return F.when((n < 2) | (F.size(places) < 2), F.lit(0.0)).otherwise(found)
+
+        return F.get(F.transform(F.array(at), value), 0)
+
+    return F.get(F.transform(F.array(F.array_distinct(query_words)), of), 0)
 
 
 def coverage(candidates: DataFrame, terms: DataFrame | None) -> DataFrame:
@@ -149,6 +151,8 @@ class JudgeReranker:
     """
 
     name = "judge"
+    #: It asks a service, so that reports may bound how many queries it gets.
+    remote = True
 
     def __init__(self, make_client, batch: int = 8, most_chars: int = 1200):
         self.make_client, self.batch, self.most_chars = make_client, batch, most_chars

@@ -1,4 +1,8 @@
-"""The search engine: indexes of one corpus and a search that takes a batch of queries as a DataFrame."""
+"""The search engine: indexes of one corpus and a search that takes a batch of queries as a DataFrame.
+
+A search reads postings twice and vectors once or twice: for the candidates of each leg, and for the full scores of what
+either leg nominates. Both are checkpointed (some dozens of rows a query), and everything after works on them alone.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 from tesselar.functions import text as T
 from tesselar.functions import vectors as V
 
+from tesselar.session import checkpointed
+
 from . import ann, dense, fusion, lexical, lsa
 from .common import top
 from .rerank import Reranker
@@ -62,6 +68,59 @@ class ServiceEmbedder:
         return self._embed(queries, "qid", "query", self.prefix)
 
 
+def _openai(model: str, dim: int):
+    def make():
+        import openai
+
+        client = openai.OpenAI()
+        return lambda texts, kind: [x.embedding for x in client.embeddings.create(model=model, dimensions=dim, input=[" ".join(t.split("\n")) for t in texts]).data]
+
+    return make
+
+
+def _voyage(model: str):
+    def make():
+        import voyageai
+
+        client = voyageai.Client()
+        return lambda texts, kind: client.embed(texts, model=model, input_type=kind).embeddings
+
+    return make
+
+
+def _sentence_transformer(model: str):
+    def make():
+        import sentence_transformers
+
+        encoder = sentence_transformers.SentenceTransformer(model)
+        return lambda texts, kind: encoder.encode(texts, show_progress_bar=False)
+
+    return make
+
+
+#: What encoders of the sentence-transformers library by default expect before a query.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def make_embedder(name: str, *, docs: DataFrame | None = None, dim: int | None = None, make_client=None) -> Embedder:
+    """lsa (fitted on docs), openai, voyage or st:<model of sentence-transformers>.
+
+    A service's client is made on the executors, from its package and key there, or by make_client, as for
+    ServiceEmbedder. dim is the vectors' length: 256 for lsa, 1024 for services, 768 for st by default.
+    """
+    if name == "lsa":
+        if docs is None:
+            raise ValueError("lsa is fitted on docs")
+        return lsa.fit(docs, dim=dim or 256)
+    if name == "openai":
+        return ServiceEmbedder(name, dim or 1024, make_client or _openai("text-embedding-3-large", dim or 1024))
+    if name == "voyage":
+        return ServiceEmbedder(name, dim or 1024, make_client or _voyage("voyage-3"))
+    if name.startswith("st:") and name[3:]:
+        return ServiceEmbedder(name, dim or 768, make_client or _sentence_transformer(name[3:]), prefix=QUERY_PREFIX)
+    raise ValueError(f"unknown embedder: {name!r}")
+
+
 @dataclass
 class Engine:
     """chunks (doc_id LONG, title, text, doc STRING, project), their inverted index and their vectors."""
@@ -72,40 +131,6 @@ class Engine:
     embedder: Embedder | None = None
     graph: ann.HnswIndex | None = None
 
-    def legs(self, queries: DataFrame, *, query_vectors: DataFrame | None = None, candidates: int = 60, use_ann: bool = False, ef: int = 96, need_semantic: bool = True):
-        """(lexical scores, semantic scores, their top candidates, queries without a vector).
-
-        A query whose vector is zero has the lexical leg as its semantic one.
-        """
-        lex = self.index.score(queries)
-        lex_top = top(lex, candidates)
-        if not need_semantic:
-            return lex, None, lex_top, None, None
-        if self.vectors is None:
-            raise ValueError("this engine has no vectors")
-        qv = query_vectors if query_vectors is not None else self.embedder.embed_queries(queries)
-        zero = queries.select("qid").join(qv.where(~V.is_zero(F.col("vec"))).select("qid"), "qid", "left_anti").withColumn("dense_fallback", F.lit(True))
-        if use_ann:
-            if self.graph is None:
-                raise ValueError("this engine has no graph")
-            sem_top = self.graph.search(qv.where(~V.is_zero(F.col("vec"))), k=candidates, ef=ef)
-        else:
-            sem_top = dense.search(self.vectors, qv, k=candidates)
-        fallback = lex_top.join(zero.select("qid"), "qid", "left_semi")
-        sem_top = sem_top.select("qid", "doc_id", "score", "rank").unionByName(fallback.select("qid", "doc_id", "score", "rank"))
-
-        def semantic(pool: DataFrame) -> DataFrame:
-            """The full semantic scores of a pool, whichever leg nominated its members."""
-            known = pool.join(zero.select("qid"), "qid", "left_anti")
-            if use_ann:
-                found = ann.floored(known, sem_top).select("qid", "doc_id", F.col("semantic").alias("score"))
-            else:
-                found = dense.score_pairs(known, self.vectors, qv).select("qid", "doc_id", F.col("semantic").alias("score"))
-            same = pool.join(zero.select("qid"), "qid", "left_semi").join(lex, ["qid", "doc_id"])
-            return found.unionByName(same.select("qid", "doc_id", "score"))
-
-        return lex, semantic, lex_top, sem_top, zero
-
     def search(
         self,
         queries: DataFrame,
@@ -129,8 +154,29 @@ class Engine:
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}, not {mode!r}")
         use_ann = self.graph is not None if use_ann is None else use_ann
-        lex, semantic, lex_top, sem_top, zero = self.legs(queries, query_vectors=query_vectors, candidates=candidates, use_ann=use_ann, ef=ef, need_semantic=mode != "bm25")
-        none = F.lit(None).cast("map<string,double>")
+        lex_top = checkpointed(top(self.index.score(queries), candidates))
+        pool, zero, none = lex_top.select("qid", "doc_id"), None, F.lit(None).cast("map<string,double>")
+        if mode != "bm25":
+            if self.vectors is None:
+                raise ValueError("this engine has no vectors")
+            if use_ann and self.graph is None:
+                raise ValueError("this engine has no graph")
+            asked = query_vectors if query_vectors is not None else self.embedder.embed_queries(queries)
+            asked = checkpointed(asked.select("qid", "vec").where(~V.is_zero(F.col("vec"))))
+            # A query whose vector is zero has the lexical leg as its semantic one.
+            zero = checkpointed(queries.select("qid").join(asked.select("qid"), "qid", "left_anti")).withColumn("dense_fallback", F.lit(True))
+            found = self.graph.search(asked, k=candidates, ef=ef) if use_ann else dense.search(self.vectors, asked, k=candidates)
+            instead = lex_top.join(zero.select("qid"), "qid", "left_semi")
+            sem_top = checkpointed(found.select("qid", "doc_id", "score", "rank").unionByName(instead.select("qid", "doc_id", "score", "rank")))
+            pool = fusion.pool(lex_top, sem_top)
+        # Whichever leg nominated a document, it has its full scores of both.
+        worth = checkpointed(self.index.contributions(queries, pairs=pool))
+        lex = worth.groupBy("qid", "doc_id").agg(F.sum("contrib").alias("score"))
+        if mode != "bm25":
+            known = pool.join(zero.select("qid"), "qid", "left_anti")
+            cosines = ann.floored(known, sem_top) if use_ann else dense.score_pairs(known, self.vectors, asked)
+            same = lex.join(zero.select("qid"), "qid", "left_semi")
+            sem = checkpointed(cosines.select("qid", "doc_id", F.col("semantic").alias("score")).unionByName(same))
         if mode == "bm25":
             fused = lex_top.withColumn("parts", none)
         elif mode == "vector":
@@ -138,13 +184,11 @@ class Engine:
         elif mode == "rrf":
             fused = fusion.rrf({"bm25": lex_top, "vector": sem_top}, limit=candidates)
         else:
-            pool = fusion.pool(lex_top, sem_top)
-            fused = fusion.weighted(fusion.scored_pool(pool, lex, semantic(pool)), alpha=alpha, limit=candidates)
+            fused = fusion.weighted(fusion.scored_pool(pool, lex, sem), alpha=alpha, limit=candidates)
         hits = fused.where(F.col("rank") <= (max(k, rerank_depth) if reranker else k))
         hits = hits.join(lex.select("qid", "doc_id", F.col("score").alias("bm25")), ["qid", "doc_id"], "left")
-        if semantic is not None:
-            pool = hits.select("qid", "doc_id")
-            hits = hits.join(semantic(pool).withColumnRenamed("score", "vector"), ["qid", "doc_id"], "left")
+        if mode != "bm25":
+            hits = hits.join(sem.withColumnRenamed("score", "vector"), ["qid", "doc_id"], "left")
         else:
             hits = hits.withColumn("vector", F.lit(None).cast("double"))
         hits = hits.withColumn("fused", F.col("score")).withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
@@ -162,7 +206,7 @@ class Engine:
             hits = hits.withColumn("dense_fallback", F.lit(False))
         columns = ["qid", "rank", "doc_id", "score", "title", "doc", "project", "bm25", "vector", "fused", "reranked", "rationale", "dense_fallback", "parts"]
         if explain:
-            best = self.index.explain(queries, hits.select("qid", "doc_id"))
+            best = lexical.strongest(worth)
             terms = best.groupBy("qid", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term", "contrib"))), lambda x: F.struct(x["term"].alias("term"), x["contrib"].alias("contrib"))).alias("terms"))
             hits = hits.join(terms, ["qid", "doc_id"], "left").withColumn("snippet", T.snippet(F.col("text"), T.content_words(F.col("query"))))
             columns += ["snippet", "terms"]
@@ -189,7 +233,10 @@ def load(spark: SparkSession, path: str, *, embedder: Embedder | None = None) ->
     if embedder is None and meta["embedder"] == "lsa":
         embedder = lsa.load(spark, path)
     if embedder is None and meta["embedder"]:
-        raise ValueError(f"this index needs the embedder {meta['embedder']!r}")
+        try:
+            embedder = make_embedder(meta["embedder"])
+        except ValueError:
+            raise ValueError(f"this index needs the embedder {meta['embedder']!r}") from None
     vectors = spark.read.parquet(f"{path}/vectors") if meta["vectors"] else None
     return Engine(spark.read.parquet(f"{path}/chunks"), lexical.load(spark, f"{path}/lexical"), vectors, embedder, ann.load(spark, path) if meta["graph"] else None)
 
@@ -198,8 +245,8 @@ def build(chunks: DataFrame, *, embedder: Embedder | str | None = "lsa", stem: b
     """The engine of chunks (doc_id LONG, title, text, doc, project). A graph is built if asked for and worth it."""
     docs = chunks.select("doc_id", T.indexable(F.col("title"), F.col("text")).alias("text"))
     index = lexical.build(docs, stem=stem)
-    if embedder == "lsa":
-        embedder = lsa.fit(docs, dim=dim)
+    if isinstance(embedder, str):
+        embedder = make_embedder(embedder, docs=docs, dim=dim if embedder == "lsa" else None)
     vectors = embedder.embed_documents(docs) if embedder is not None else None
     graph = None
     if use_ann and vectors is not None and vectors.count() >= ann.LEAST_ROWS:

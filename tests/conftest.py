@@ -11,8 +11,6 @@ def spark(tmp_path_factory):
     from tesselar.session import local_session
 
     session = local_session(cores=4, partitions=4, memory="4g")
-    # Plans here are large and data are small: planning once is what counts.
-    session.conf.set("spark.sql.adaptive.enabled", "false")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
 
