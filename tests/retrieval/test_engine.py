@@ -2,14 +2,17 @@ import inspect
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesselar import cli
+
 from tesselar.functions import plain
 from tesselar.functions import vectors as V
 from tesselar.operators import ann, chunk, dense, evaluate, fusion, lexical, lsa, rerank, search
-from tesselar.operators.common import top
+from tesselar.operators.common import spread, top
 from tesselar.plans import catalog
 
 TEXTS = [
@@ -258,3 +261,116 @@ def test_semantic_leg_scores_what_only_terms_nominate(spark):
     assert sorted((r.qid, r.doc_id, round(r.score, 9)) for r in sem.collect()) == [(1, 10, 0.6), (1, 12, 1.0), (2, 11, 3.0)]
     runs = evaluate.modes(lex, sem, alphas=[0.5], depth=1, which=("vector",))
     assert sorted((r.qid, r.doc_id) for r in runs["vector"].collect()) == [(1, 12), (2, 11)]
+
+
+def test_parameter_grid_gives_on_what_can_be_best(spark, docs, queries):
+    ix, grid = lexical.build(docs), [(0.9, 0.4), (1.5, 0.75), (2.0, 0.0)]
+    every = {(r.k1, r.b, r.qid, r.doc_id): r.score for r in ix.score_grid(queries, grid).collect()}
+    some = {(r.k1, r.b, r.qid, r.doc_id): r.score for r in ix.score_grid(queries, grid, k=1).collect()}
+    assert some and all(every[x] == pytest.approx(v) for x, v in some.items())
+    assert all(any(x[:3] == y[:3] and some[y] == pytest.approx(v) for y in some) for x, v in every.items() if v == max(w for z, w in every.items() if z[:3] == x[:3]))
+
+
+def test_frequencies_of_wanted_terms(spark, docs, tmp_path):
+    ix = lexical.build(docs)
+    ix.save(str(tmp_path))
+    wanted = spark.createDataFrame([("roses",), ("garden",), ("garden",), ("unknown",)], "term string")
+    for index in (ix, lexical.load(spark, str(tmp_path))):
+        assert {(r.term, r.df) for r in index.terms(wanted).collect()} == {("roses", 2), ("garden", 2)}
+        assert index.frequencies().count() == ix.postings.select("term").distinct().count()
+    ix.release()
+    assert not ix.postings.is_cached
+
+
+def test_spreading_starts_no_job(spark, docs):
+    shuffled = docs.groupBy("doc_id").agg(F.first("text").alias("text"))
+    spark.sparkContext.setJobGroup("spread", "")
+    spread(shuffled, "doc_id")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+    assert spread(docs).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_chunks_are_numbered_across_ranges(spark):
+    r = random.Random(2)
+    rows = [(f"d{r.randrange(60)}", r.randrange(4), r.randrange(4)) for _ in range(400)]
+    rows = sorted(set(rows))
+    got = chunk.numbered(spark.createDataFrame(rows, "doc_id string, section int, window int").repartition(5)).collect()
+    assert [(x.doc_id, x.section, x.window) for x in sorted(got, key=lambda x: x.id)] == rows and sorted(x.id for x in got) == list(range(len(rows)))
+
+
+def test_passages_meet_the_documents_that_contain_them(spark, tmp_path):
+    text = ["alpha beta gamma delta", "xalpha beta gammax", "alpha  beta gamma", "one", "", None, "gamma delta one two"]
+    spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = ["alpha beta gamma", "gamma delta", "one", "beta gamma delta", "no such thing"]
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.qid, r.doc_id) for r in catalog.qrels(spark, str(tmp_path)).collect()}
+    assert got == {(q, i) for q, a in enumerate(asked) for i, t in enumerate(text) if t and a in t} and len(got) == 7
+
+
+def test_embedders_by_name(spark, docs):
+    def make():
+        return lambda texts, kind: [[float(len(t)), 1.0 if kind == "query" else 2.0] for t in texts]
+
+    st = search.make_embedder("st:some/model", dim=2, make_client=make)
+    q = spark.createDataFrame([(1, "abc")], "qid long, text string")
+    n = len(search.QUERY_PREFIX) + 3
+    assert st.dim == 2 and st.embed_queries(q).first().vec == pytest.approx([n / math.hypot(n, 1), 1 / math.hypot(n, 1)])
+    assert {search.make_embedder(x).dim for x in ("openai", "voyage")} == {1024} and search.make_embedder("st:m").name == "st:m"
+    assert search.make_embedder("lsa", docs=docs, dim=3).dim == 3
+    for bad in ("other", "st:", "lsa"):
+        with pytest.raises(ValueError):
+            search.make_embedder(bad)
+
+
+def test_ablation_with_a_reranker(spark, docs):
+    chunks = docs.where("text <> ''").select("doc_id", F.lit("").alias("title"), "text")
+    q = spark.createDataFrame([(0, "cat sat mat", 0), (1, "garden roses dogs", 1), (4, "tulips spring", 0)], "qid long, text string, target long")
+    lex = lexical.build(chunks).score(q)
+    got = {r.system: r for r in evaluate.ablation(lex, lex, q, alphas=(0.5,), reranker=rerank.LocalReranker(), chunks=chunks, rerank_depth=2).collect()}
+    assert set(got) == {"bm25", "vector", "rrf", "hybrid_0.5", "hybrid_0.5 + local"}
+    last = got["hybrid_0.5 + local"]
+    assert last.ceiling == pytest.approx(2 / 3) and last.recall_at_1 == pytest.approx(2 / 3) and got["bm25"].ceiling is None
+    with pytest.raises(ValueError):
+        evaluate.ablation(lex, lex, q, reranker=rerank.LocalReranker())
+
+
+def test_graph_fidelity_and_times(spark):
+    x = np.random.default_rng(3).standard_normal((300, 8))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "doc_id long, vec array<double>").cache()
+    q = v.where("doc_id < 10").withColumnRenamed("doc_id", "qid").union(spark.createDataFrame([(99, [0.0] * 8)], "qid long, vec array<double>"))
+    got = evaluate.ann_crossover({"small": (v, q)}, efs=(16, 256), ef_build=40, shards=2).orderBy("ef").collect()
+    assert [(r.dataset, r.ef, r.n_docs, r.n_queries, r.n_zero, r.dim) for r in got] == [("small", e, 300, 10, 1, 8) for e in (16, 256)]
+    assert got[1].recall >= 0.95 and all(r.ms > 0 and r.speedup == pytest.approx(r.exact_ms / r.ms) for r in got)
+    with pytest.raises(ValueError):
+        evaluate.measure_ann(v, q.where("qid = 99"))
+
+
+def test_stemming_compared(spark, docs):
+    q = spark.createDataFrame([(1, "indexing engine"), (2, "garden rose")], "qid long, text string")
+    judged = spark.createDataFrame([(1, 2, 1), (2, 4, 1)], "qid long, doc_id long, rel int")
+    r = evaluate.stemming(docs, q, judged, iterations=200).first()
+    assert r.vocab_stemmed < r.vocab_plain and r.ndcg10_stemmed > r.ndcg10_plain and r.delta == pytest.approx(r.ndcg10_stemmed - r.ndcg10_plain) and r.n == 2
+
+
+def test_verdicts_of_a_report(spark):
+    frame = spark.createDataFrame
+    reports = {
+        "significance": frame([("hybrid", 0.02, 0.01), ("rrf", 0.0, 0.6)], "mode string, delta double, p_value double"),
+        "sweep": frame([(0.2, 0.7), (0.4, 0.71)], "alpha double, ndcg double"),
+        "means": frame([("bm25", 10, 0.670), ("vector", 10, 0.74)], "mode string, k int, ndcg double"),
+    }
+    said = cli.verdicts(spark, "scifact", reports, "bge-base-en-v1.5")
+    assert "p = 0.010, significant" in said[0] and "not significant" in said[1] and "0.4: 0.7100" in said[2]
+    assert "-0.0090; published values lie 0.014 apart" in said[3] and "-0.0004" in said[4]
+
+
+@pytest.mark.parametrize("name", ["chunk_sections", "ict_hard", "ict_keyword", "rerank_local", "search_rrf", "bm25_stemmed_topk", "bm25_param_grid"])
+def test_queries_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(catalog.ORACLES[name])
+    got = [tuple(r[c] for c in want.columns) for r in catalog.QUERIES[name](spark, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr) and got
