@@ -2,14 +2,14 @@
 
 `linked` is the candidate search of every near-copy operator here. It works on nodes: a node is a digest of what is
 compared, so that documents with equal payloads are one node from the start (`collapse`), whatever their number, and
-rows that repeat an identifier with different texts are different nodes. Keys (64 bits) with their nodes are sorted once
-and keys that only one node has are dropped; the others get their payloads and are sorted by key again, and each key's
-nodes are connected by `forest`. A forest has the connected components of *all* pairs at or above the threshold, yet
-needs far fewer comparisons than there are pairs: whatever is linked to a visited node is not compared with its further
-neighbours again. So no group is capped, and a group of n alike costs n comparisons.
+rows that repeat an identifier with different texts are different nodes. Keys (64 bits) are counted, each task's first,
+and those that only one node has are dropped; the nodes of the others get their payloads, meet by key, and are connected
+by `forest`; of keys that the same nodes have one is enough. A forest has the connected components of *all* pairs at or above the threshold, yet needs far fewer
+comparisons than there are pairs: whatever is linked to a visited node is not compared with its further neighbours
+again. So no group is capped, and a group of n alike costs n comparisons.
 
-A task holds at most two blocks of `BLOCK` nodes: the nodes of a larger key are numbered as they stream by, cut into
-blocks, and every two blocks of the key meet in a task of their own.
+A group holds two blocks of about `BLOCK` nodes at most: the nodes of a larger key are drawn into blocks by digest, and
+every two blocks of the key meet in a group of their own. No task gets all nodes of a hot key, at any step.
 
 Nodes are 64-bit numbers: two different payloads of n have the same one with a probability of n * n / 2**65.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, in_keys, keyed, sized, without_keys
+from .shared import checkpointed, in_keys, keyed, without_keys
 
 BLOCK = 1 << 14
 #: compare(data, i, js) -> similarity of row i of the payloads with each of the rows js.
@@ -46,36 +46,30 @@ def forest(data, n: int, compare: Compare, at_least: float) -> list[tuple[int, i
     return edges
 
 
-def several(batches):
-    """The rows (key, doc_id) of batches in order of keys whose key has more than one row, with their place in the key.
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, n) of keys (key, doc_id), both LONG, whose key n > 1 rows have."""
+    counts = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return keyed(keys.select("key", "doc_id"), counts, ["key"], row_bytes=32)
+
 
-    One row and one number are held between batches, whatever the size of a key.
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, n) of one of those keys that the same nodes have: near copies share most of their keys.
+
+    Sets of nodes are told by their size and two 64-bit digests.
     """
-    last, waits, seen = None, None, 0
-    for b in batches:
-        k, d = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(k):
-            continue
-        if waits is not None:
-            k, d = np.concatenate([[last], k]), np.concatenate([[waits], d])
-        begins = np.concatenate([[True], k[1:] != k[:-1]])
-        at = np.flatnonzero(begins)
-        nth = np.arange(len(k)) - np.repeat(at, np.diff(np.append(at, len(k))))
-        goes_on = waits is None and last is not None and k[0] == last
-        if goes_on:
-            nth[: at[1] if len(at) > 1 else len(k)] += seen
-        on = np.zeros(len(k), bool)
-        on[1:] = ~begins[1:]
-        on[:-1] |= ~begins[1:]
-        on[0] |= goes_on
-        if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(d[on]), pa.array(nth[on])], ["key", "doc_id", "nth"])
-        last, waits, seen = k[-1], None if on[-1] else d[-1], int(nth[-1]) + 1
+    digest = lambda k: F.bit_xor(F.xxhash64(F.lit(k), F.col("doc_id")))
+    sets = rows.groupBy("key").agg(F.first("n").alias("n"), digest(1).alias("x"), digest(2).alias("y"))
+    kept = checkpointed(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+    return keyed(rows.select("key", "doc_id"), kept, ["key"], row_bytes=32)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, nth) of keys (key, doc_id), both LONG, whose key more than one row has; nth counts them."""
-    return keys.select("key", "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, doc_id long, nth long")
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(key, node, low, high) of rows (key, doc_id, n): the groups of two blocks in which nodes meet; 0, 0 if there's one."""
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    mine = F.pmod(F.xxhash64("doc_id"), blocks)
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: (o != mine) | (blocks == 1)))
+    placed = rows.select("key", F.col("doc_id").alias("node"), mine.alias("mine"), other.alias("other"))
+    return placed.select("key", "node", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
 
 def collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,17 +138,7 @@ def linked(keys: DataFrame, payload: DataFrame, load: Callable[[pa.Array], objec
         if found:
             yield out()
 
-    some = checkpointed(shared_keys(keys))
-    at = F.floor(F.col("nth") / block).cast("long")
-    # Keys of more than one block: at most all rows / BLOCK.
-    large = checkpointed(some.where(F.col("nth") >= block).groupBy("key").agg((F.floor(F.max("nth") / block) + 1).cast("long").alias("blocks")))
-    placed = some.select("key", F.col("doc_id").alias("node"), at.alias("mine"))
-    if large.isEmpty():
-        placed = placed.select("key", "node", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
-    else:
-        placed = placed.join(sized(large, 32), "key", "left")
-        others = F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda o: (o != F.col("mine")) | F.col("blocks").isNull())
-        placed = placed.withColumn("other", F.explode(others)).select("key", "node", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    placed = in_blocks(distinct_groups(checkpointed(shared_keys(keys))), block)
     with_data = placed.join(payload, "node").select("key", "low", "high", "rep", "data")
     return (
         with_data.repartition("key", "low", "high")

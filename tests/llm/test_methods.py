@@ -95,28 +95,27 @@ def test_forest_connects_what_all_pairs_connect():
         assert components([(i, j) for i, j, _ in edges]) == components([(i, j) for i in range(n) for j in range(n) if s[i, j] >= 0.9])
 
 
-def test_shared_keys_stream_any_key():
-    """Whatever the batches, the rows of keys with more than one row come out, numbered within their key."""
-    r = np.random.default_rng(1)
-    for _ in range(60):
-        k = np.sort(r.integers(0, 8, r.integers(0, 40)))
-        d = np.arange(len(k))
-        cuts = np.sort(r.integers(0, len(k) + 1, 6))
-        parts = np.split(np.arange(len(k)), cuts)
-        got = [x for b in links.several([pa.RecordBatch.from_arrays([pa.array(k[p]), pa.array(d[p])], ["key", "doc_id"]) for p in parts]) for x in zip(*(c.to_pylist() for c in b.columns))]
-        assert got == [(int(x), i, i - k.tolist().index(x)) for i, x in enumerate(k) if (k == x).sum() > 1]
-
-
-def test_one_key_of_millions_stays_in_constant_memory():
-    import tracemalloc
-
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(10_000, 7)), pa.array(np.arange(10_000))], ["key", "doc_id"])
-    tracemalloc.start()
-    n, last = 0, None
-    for out in links.several(batch for _ in range(1000)):
-        n, last = n + out.num_rows, out.column(2)[-1].as_py()
-    assert (n, last) == (10_000_000, 9_999_999) and tracemalloc.get_traced_memory()[1] < 8 << 20
-    tracemalloc.stop()
+def test_a_hot_key_is_never_in_one_group(spark):
+    """A key of 20,000 nodes: every two of them meet, in groups of two blocks at most; small keys stay whole."""
+    keys = spark.range(20_000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("doc_id"))
+    keys = keys.unionByName(spark.createDataFrame([(1, 5), (1, 6), (2, 9)], "key long, doc_id long"))
+    shared_ = links.shared_keys(keys)
+    assert {(r.key, r.n) for r in shared_.select("key", "n").distinct().collect()} == {(7, 20_000), (1, 2)}
+    groups = links.in_blocks(shared_, 4000).groupBy("key", "low", "high").agg(F.count("*").alias("n"), F.collect_set("node").alias("nodes")).collect()
+    large = [r for r in groups if r.key == 7]
+    assert len(large) == 10 and max(r.n for r in large) < 8800 and [(r.low, r.high, sorted(r.nodes)) for r in groups if r.key == 1] == [(0, 0, [5, 6])]
+    r = random.Random(1)
+    assert all(any(a in g.nodes and b in g.nodes for g in large) for a, b in (r.sample(range(20_000), 2) for _ in range(20)))
+
+
+def test_of_keys_that_the_same_nodes_have_one_is_enough(spark):
+    sets = {1: {5, 6}, 2: {6, 5}, 3: {5, 6, 7}, 4: {5, 7}, 9: {5, 7}, 8: {7, 6, 5}}
+    rows = spark.createDataFrame([(k, d) for k, s in sets.items() for d in s], "key long, doc_id long").repartition(3)
+    got = {}
+    for r in links.distinct_groups(links.shared_keys(rows)).collect():
+        got.setdefault(r.key, set()).add(r.doc_id)
+        assert r.n == len(sets[r.key])
+    assert got == {k: sets[k] for k in (1, 3, 4)}
 
 
 def test_blocks_of_a_large_key_connect_what_one_task_would(spark):
