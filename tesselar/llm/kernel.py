@@ -1,7 +1,9 @@
 """Vectorised text kernels: whole Arrow string buffers are cut into words and hashed by numpy, never word by word.
 
-Words are maximal runs of ASCII letters, digits and non-ASCII bytes; ASCII letters are folded to lower case. A word's
-hash is a polynomial over its bytes modulo 2**64, found from prefix sums, so its cost doesn't depend on its length.
+Words are maximal runs of ASCII letters, digits and non-ASCII characters; ASCII letters are folded to lower case. The
+punctuation and blanks of Latin-1, of the general and of the East Asian blocks end a word, and each character of a script
+that is written without blanks (Chinese, Japanese, Thai) is a word. A word's hash is a polynomial over its bytes modulo
+2**64, found from prefix sums, so its cost doesn't depend on its length.
 """
 
 from __future__ import annotations
@@ -63,6 +65,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             at = to
 
 
+def _marks() -> tuple[np.ndarray, np.ndarray]:
+    """For the first two bytes of a character: whether it ends words; for the third after those of fullwidth forms."""
+    two, wide = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for b in range(0x80, 0xC0):
+        # Latin-1: all but the ordinals, micro, superscript digits and fractions.
+        two[0xC2 << 8 | b] = b not in (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE)
+    two[[0xE280, 0xE281, 0xE380]] = True
+    for cp in (*range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF66)):
+        raw = chr(cp).encode()
+        wide[raw[1] << 8 | raw[2]] = True
+    return two, wide
+
+
+_ENDS, _WIDE = _marks()
+
+
+def _characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of characters that end words, where characters that are words by themselves begin and end) in UTF-8 bytes."""
+    at = np.flatnonzero(raw >= 0xC2)
+    at = at[at + 1 < len(raw)]
+    lead, pair = raw[at], raw[at].astype(np.int64) << 8 | raw[at + 1]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    ends = _ENDS[pair]
+    wide = np.flatnonzero((lead == 0xEF) & (at + 2 < len(raw)))
+    ends[wide] = _WIDE[raw[at[wide] + 1].astype(np.int64) << 8 | raw[at[wide] + 2]]
+    # Kana and ideographs, Thai, the ideographs beyond the first plane.
+    alone = ~ends & ((lead >= 0xE3) & (lead <= 0xE9) | (pair == 0xE0B8) | (pair == 0xE0B9) | (pair >= 0xF0A0) & (pair <= 0xF0AF))
+    gone = np.concatenate([at[ends], at[ends] + 1, at[ends & (size > 2)] + 2])
+    return gone, np.concatenate([at[alone], at[alone] + size[alone]])
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of its first word for each text plus the total), in order."""
     offs, data = buffers(column)
@@ -88,6 +121,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.searchsorted(edges, [at, to])
         cut[edges[a:b] - at] = True
         cut[0] = cut[-1] = True
+        gone, borders = _characters(data[at:to])
+        inside[gone[gone < to - at]] = False
+        cut[borders[borders < to - at]] = True
         before = np.empty(to - at + 1, bool)
         before[0] = False
         before[1:] = inside

@@ -63,6 +63,43 @@ def test_minhash_against_brute_force(spark, near):
     assert not wrong
 
 
+def brute_words(text):
+    """The words of a text by its characters."""
+    out, word = [], ""
+    for c in text + " ":
+        cp = ord(c)
+        single = 0x3100 <= cp <= 0x9FFF or 0x3040 <= cp < 0x3100 or 0x0E00 <= cp < 0x0E80 or 0x20000 <= cp < 0x30000
+        mark = cp < 0x80 and not c.isalnum() or 0x80 <= cp < 0xC0 and c not in "ª²³µ¹º¼½¾" or 0x2000 <= cp < 0x2080 or 0x3000 <= cp < 0x3040
+        mark = mark or 0xFF01 <= cp < 0xFF10 or 0xFF1A <= cp < 0xFF21 or 0xFF3B <= cp < 0xFF41 or 0xFF5B <= cp < 0xFF66
+        if single or mark:
+            out += [word] if word else []
+            out += [c] if single else []
+            word = ""
+        else:
+            word += c.lower() if cp < 0x80 else c
+    return out
+
+
+def test_words_against_characters():
+    r = random.Random(17)
+    signs = "aB9 .,é«»“”—…ß½漢字かなカ、。！Ａสวัส한글😀𠀀\u00a0\u3000\n"
+    texts = ["", "«Bonjour» “hi”", "漢字かな。漢字", "สวัสดี", "x" * 50] + ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    h, first = kernel.words(pa.array(texts))
+    names: dict[int, str] = {}
+    for i, t in enumerate(texts):
+        own, want = h[first[i] : first[i + 1]].tolist(), brute_words(t)
+        assert len(own) == len(want), (t, want)
+        assert all(names.setdefault(x, w) == w for x, w in zip(own, want))
+    assert len(set(names.values())) == len(names)
+
+
+def test_near_copies_in_scripts_without_blanks(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("漢字文書類似検索言語学習資料大小中") for _ in range(200))
+    docs = [(1, text), (2, text[:90] + "異" + text[91:]), (3, "".join(r.choice("赤青黄緑白黒紫橙灰茶金銀") for _ in range(200)))]
+    assert [tuple(x) for x in minhash.groups(frame(spark, docs)).collect()] == [(2, 1)]
+
+
 def test_b_bit_estimate():
     r, k = np.random.default_rng(1), 4096
     multiply, mask = minhash.permutations(k)
