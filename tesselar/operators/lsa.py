@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tesselar.functions import text as T
+from tesselar.session import checkpointed
 
 from .common import ranked, spread
 
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, *, dim: int = 256, seed: int = 0, power: int = 4, max_f
     kept = vocabulary(counts, n, min_df=min_df, max_df_ratio=max_df_ratio, max_features=max_features)
     # At most max_features rows, so one task may number them.
     terms = ranked(kept.withColumn("all", F.lit(1)), ["all"], F.col("term").asc(), name="nth").select("term", (F.col("nth") - 1).cast("int").alias("term_id"), "idf")
-    terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
+    terms = checkpointed(terms)
     v = terms.count()
     if not v:
         return Lsa(terms, np.zeros((0, 2)), np.zeros(2))
