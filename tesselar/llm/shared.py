@@ -12,6 +12,8 @@ from tesselar.session import checkpointed, remove, shared_folder  # noqa: F401
 
 #: Keys that a filter may broadcast, in bytes of 8-byte digests. Beyond it the filter is a shuffled semi join.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Rows of tables that a join may broadcast, in bytes: the driver builds a hash table of them, which takes several times that.
+MAX_JOIN_BYTES = 4 << 20
 #: A group of more rows than this is hot: its rows aren't sent to one task.
 HOT_ROWS = 1 << 17
 
@@ -24,12 +26,12 @@ def numbered_ids(docs: DataFrame, column: str = "doc_id") -> DataFrame:
     return docs
 
 
-def sized(df: DataFrame, row_bytes: int, *, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def sized(df: DataFrame, row_bytes: int, *, max_bytes: int = MAX_JOIN_BYTES) -> DataFrame:
     """df, marked for broadcast if its rows are counted and fit: row_bytes is what one takes at most."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
 
 
-def keyed(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str = "n", row_bytes: int = 96, max_bytes: int = MAX_BROADCAST_BYTES, hot: int = HOT_ROWS) -> DataFrame:
+def keyed(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str = "n", row_bytes: int = 96, max_bytes: int = MAX_JOIN_BYTES, hot: int = HOT_ROWS) -> DataFrame:
     """rows joined to groups, which has one row for each key `on` and in `size` how many of rows have it.
 
     Groups that fit max_bytes are broadcast. Beyond it only those with more than `hot` rows are, of which there are
