@@ -47,8 +47,13 @@ def forest(data, n: int, compare: Compare, at_least: float) -> list[tuple[int, i
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, n) of keys (key, doc_id), both LONG, whose key n > 1 rows have."""
-    counts = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    """The rows (key, doc_id, n) of keys (key, doc_id), both LONG, whose key n > 1 rows have.
+
+    If keys has a boolean column `asks`, one of these rows at least must be true in it.
+    """
+    asks = [F.bool_or("asks").alias("asked")] if "asks" in keys.columns else []
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), *asks).where("n > 1 AND asked" if asks else "n > 1")
+    counts = checkpointed(counts.select("key", "n"))
     return keyed(keys.select("key", "doc_id"), counts, ["key"], row_bytes=32)
 
 

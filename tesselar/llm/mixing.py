@@ -9,7 +9,7 @@ source are taken in ascending order of their keys while the running sum of their
 The running sum has no single-task sort of a source: keys are first counted in `BINS` monotone bins per source, and
 only the bin in which the rest runs out is sorted. What a source keeps is then everything up to one cutoff, so that
 applying the sample to wide rows is a map, not a join on documents: the plan, one row for each source, is counted and
-goes to the rows while it fits `shared.MAX_BROADCAST_BYTES` (about 300,000 sources with names of ten letters). A table of
+goes to the rows while it fits `shared.MAX_BROADCAST_BYTES` (about 150,000 sources with names of ten letters). A table of
 more sources than that is joined by source; none of its sources can be hot unless its rows are.
 
 Tokens are runs of anything but space, tab and line ends. A weight is 1 / (1 + 4 * symbols / tokens), with the symbols

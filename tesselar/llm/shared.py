@@ -11,7 +11,7 @@ from pyspark.sql import types as ty
 from tesselar.session import checkpointed, remove, shared_folder  # noqa: F401
 
 #: Keys that a filter may broadcast, in bytes of 8-byte digests. Beyond it the filter is a shuffled semi join.
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 16 << 20
 #: Rows of tables that a join may broadcast, in bytes: the driver builds a hash table of them, which takes several times that.
 MAX_JOIN_BYTES = 4 << 20
 #: A group of more rows than this is hot: its rows aren't sent to one task.
@@ -53,8 +53,7 @@ def _by_keys(df: DataFrame, key: Column, keys: DataFrame, inside: bool, max_byte
             .join(keys.toDF(name), name, "left_semi" if inside else "left_anti")
             .select(*[F.col(f"`{c}`") for c in df.columns])
         )
-    found = keys.toPandas()
-    held = df.sparkSession.sparkContext.broadcast(np.sort(found[found.columns[0]].to_numpy("int64")))
+    held = df.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy().astype(np.int64, copy=False)))
 
     @F.arrow_udf("boolean")
     def member(h: pa.Array) -> pa.Array:
@@ -72,7 +71,8 @@ def in_keys(df: DataFrame, key: Column, keys: DataFrame, *, max_bytes: int = MAX
     """Rows of df whose 64-bit key is among keys (one LONG column without duplicates or nulls); a null key is not.
 
     The keys are counted first. While they fit max_bytes they go to the executors as one sorted array, and only
-    key itself is sent to Python, never the rest of the row; beyond that the same rows come from a semi join.
+    key itself is sent to Python, never the rest of the row; beyond that the same rows come from a semi join, of which
+    adaptive execution splits what is skewed.
     """
     return _by_keys(df, key, keys, True, max_bytes)
 
