@@ -54,7 +54,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     asks = [F.bool_or("asks").alias("asked")] if "asks" in keys.columns else []
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), *asks).where("n > 1 AND asked" if asks else "n > 1")
     counts = checkpointed(counts.select("key", "n"))
-    return keyed(keys.select("key", "doc_id"), counts, ["key"], row_bytes=32)
+    return keyed(keys.select("key", "doc_id"), counts, ["key"], row_bytes=32, few=False)
 
 
 def distinct_groups(rows: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def distinct_groups(rows: DataFrame) -> DataFrame:
     digest = lambda k: F.bit_xor(F.xxhash64(F.lit(k), F.col("doc_id")))
     sets = rows.groupBy("key").agg(F.first("n").alias("n"), digest(1).alias("x"), digest(2).alias("y"))
     kept = checkpointed(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
-    return keyed(rows.select("key", "doc_id"), kept, ["key"], row_bytes=32)
+    return keyed(rows.select("key", "doc_id"), kept, ["key"], row_bytes=32, few=False)
 
 
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:

@@ -31,17 +31,21 @@ def sized(df: DataFrame, row_bytes: int, *, max_bytes: int = MAX_JOIN_BYTES) ->
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
 
 
-def keyed(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str = "n", row_bytes: int = 96, max_bytes: int = MAX_JOIN_BYTES, hot: int = HOT_ROWS) -> DataFrame:
+def keyed(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str = "n", row_bytes: int = 96, max_bytes: int = MAX_JOIN_BYTES, hot: int = HOT_ROWS, few: bool = True) -> DataFrame:
     """rows joined to groups, which has one row for each key `on` and in `size` how many of rows have it.
 
-    Groups that fit max_bytes are broadcast. Beyond it only those with more than `hot` rows are, of which there are
-    few (all rows / hot at most, counted too), and the others are shuffled: no task gets a key with more rows than that.
+    Groups that fit max_bytes are broadcast, unless `few` says that they'll be many in earnest. Beyond it only those with
+    more than `hot` rows are, of which there are few (all rows / hot at most, counted too), and the others are shuffled:
+    no task gets a key with more rows than that.
     """
-    if groups.count() * row_bytes <= max_bytes:
+    if few and groups.count() * row_bytes <= max_bytes:
         return rows.join(F.broadcast(groups), on)
-    few = sized(groups.where(F.col(size) > hot), row_bytes, max_bytes=max_bytes)
-    cold = rows.join(few.select(*on), on, "left_anti")
-    return rows.join(few, on).unionByName(cold.join(groups.where(F.col(size) <= hot), on))
+    large = groups.where(F.col(size) > hot)
+    if large.isEmpty():
+        return rows.join(groups, on)
+    large = sized(large, row_bytes, max_bytes=max_bytes)
+    cold = rows.join(large.select(*on), on, "left_anti")
+    return rows.join(large, on).unionByName(cold.join(groups.where(F.col(size) <= hot), on))
 
 
 def _by_keys(df: DataFrame, key: Column, keys: DataFrame, inside: bool, max_bytes: int) -> DataFrame:
