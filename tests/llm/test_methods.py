@@ -338,6 +338,57 @@ def test_fingerprint_links_short_texts(spark):
     assert all(jaccard(pairs[i], pairs[got[i].linked_id]) >= 0.2 for i in pairs if got[i].linked_id is not None)
 
 
+def test_fingerprint_leaves_out_no_link(spark, near):
+    """Numbers of links, best partners and classes are those of all pairs, passages of long texts and short texts among them."""
+    r, long, rows = random.Random(8), prose(900, 3000), list(near)
+    rows += [(1000, long), *[(1001 + k, long[700 * k : 700 * k + 420 + 40 * k]) for k in range(12)]]
+    for k in range(30):
+        words = prose(7000 + k // 3, 40).split()
+        words[r.randrange(40)] = f"w{k}"
+        rows.append((2000 + k, " ".join(words)))
+    got = {x.doc_id: x for x in fingerprint.fingerprint(frame(spark, rows)).collect()}
+    ids = sorted(got)
+    d = fingerprint.Digests([base64.b64decode(got[i].digest) for i in ids])
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    scores = np.stack([fingerprint.compare(d, i, np.arange(len(ids))) for i in range(len(ids))])
+    assert (scores == scores.T).all()
+    for i, s in zip(ids, scores):
+        equal = {j for j in ids if got[j].digest == got[i].digest and j != i}
+        alike = {j: x for j, x in zip(ids, s.tolist()) if x >= fingerprint.AT_LEAST and got[j].digest != got[i].digest}
+        assert got[i].n_links == len({got[j].digest for j in alike})
+        partners = alike | dict.fromkeys(equal, 100.0)
+        if partners:
+            x, j = max((x, -j) for j, x in partners.items())
+            assert (got[i].linked_id, got[i].score) == (-j, pytest.approx(x, abs=1e-4))
+        else:
+            assert got[i].linked_id is None
+        for j in partners:
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    assert {i: got[i].class_id for i in ids} == {i: root(i) for i in ids}
+    # A passage has few of the long text's features, so a key of several of them would miss it.
+    assert sum(got[1001 + k].n_links > 0 for k in range(12)) >= 10 and any(got[i].n_features < fingerprint.MIN_FEATURES and got[i].n_links for i in ids)
+
+
+def test_fewest_common_features():
+    """Of filters with fewer features in common than `fewest` says none scores so much."""
+    r, least, at_least = np.random.default_rng(3), fingerprint.fewest(30.0), 30.0
+    for _ in range(2000):
+        n, m = r.integers(6, 161, 2)
+        a, b = r.integers(0, 2**63, n, dtype=np.uint64), r.integers(0, 2**63, m, dtype=np.uint64)
+        common = int(r.integers(0, min(n, m) + 1))
+        b[:common] = a[:common]
+        d = fingerprint.Digests([fingerprint.digest(a), fingerprint.digest(b)])
+        if fingerprint.compare(d, 0, np.array([1]))[0] >= at_least:
+            assert common >= least[d.on[0], d.on[1]]
+    assert least[650, 650] > 20 and (least == least.T).all()
+
+
 def test_shards_keep_links_and_sizes(spark, near):
     docs = frame(spark, near)
     got = shards.assign(docs, shards=5)
