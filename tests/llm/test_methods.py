@@ -375,6 +375,58 @@ def test_fingerprint_leaves_out_no_link(spark, near):
     assert sum(got[1001 + k].n_links > 0 for k in range(12)) >= 10 and any(got[i].n_features < fingerprint.MIN_FEATURES and got[i].n_links for i in ids)
 
 
+def test_fingerprint_pairs_never_leave_their_task(spark):
+    """Forty texts that are alike have 780 links; what is moved of them grows with the texts."""
+    rows = [(i, prose(1, 300) + " " + prose(8000 + i, 40)) for i in range(40)]
+    nodes, _, _ = links.collapse(fingerprint.digests(frame(spark, rows)).drop("packed"))
+    got = fingerprint._by_features(nodes, fingerprint.AT_LEAST).collect()
+    total = collections.Counter()
+    for x in got:
+        total[x.rep] += x.n
+    assert total == dict.fromkeys(range(40), 39) and len(got) < 400
+
+
+@pytest.mark.parametrize("block", [1 << 12, 3])
+def test_all_links_against_brute_force(spark, block):
+    """Every two of forty nodes that share a key count once, however many keys they share and blocks they meet in."""
+    r = random.Random(6)
+    values = [r.randrange(100) for _ in range(40)]
+    reps = [1000 + i // 2 if i < 4 else 1000 + i for i in range(40)]
+    sets = {1: set(range(0, 25)), 2: set(range(15, 40)), 3: {3, 7, 9, 20}, 4: {3, 7, 9, 21}, 5: set(range(0, 40, 3)), 6: {0, 1, 39}}
+    keys = spark.createDataFrame([(k, i) for k, own in sets.items() for i in own], "key long, doc_id long").repartition(3)
+    payload = spark.createDataFrame([(i, reps[i], values[i].to_bytes(8, "little")) for i in range(40)], "node long, rep long, data binary")
+    load = lambda p: np.array([int.from_bytes(x, "little") for x in p.to_pylist()])
+    compare = lambda d, i, js: 1.0 - np.abs(d[js] - d[i]) / 100
+    got = links.all_links(keys, payload, load, compare, 0.9, block=block).collect()
+    up = {x: x for x in reps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in got:
+        if x.n == 0:
+            up[max(root(x.rep), root(x.other))] = min(root(x.rep), root(x.other))
+    partners = {i: {} for i in range(40)}
+    for i in range(40):
+        for j in range(40):
+            if reps[i] != reps[j] and any(i in own and j in own for own in sets.values()) and 1.0 - abs(values[i] - values[j]) / 100 >= 0.9:
+                partners[i][j] = 1.0 - abs(values[i] - values[j]) / 100
+    for i, own in partners.items():
+        rows = [x for x in got if x.node == i and x.n > 0]
+        assert sum(x.n for x in rows) == len(own) and all(x.rep == reps[i] for x in rows)
+        if own:
+            assert max((x.score, -x.other) for x in rows) == max((x, -reps[j]) for j, x in own.items())
+        assert all(root(reps[i]) == root(reps[j]) for j in own)
+    whole = {x: x for x in reps}
+    for _ in range(40):
+        for i, own in partners.items():
+            for j in own:
+                whole[reps[i]] = whole[reps[j]] = min(whole[reps[i]], whole[reps[j]])
+    assert {x: root(x) for x in reps} == whole
+
+
 def test_fewest_common_features():
     """Of filters with fewer features in common than `fewest` says none scores so much."""
     r, least, at_least = np.random.default_rng(3), fingerprint.fewest(30.0), 30.0
