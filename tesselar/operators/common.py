@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselar.session import checkpointed
+
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df over all cores, by the columns `by` if any are given, if its plan is estimated at too few bytes to fill them.
@@ -18,6 +20,20 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(parts, *by) if size < parts * split else df
 
 
+#: Bytes of a table that a join is told to broadcast.
+SMALL_BYTES = 8 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df, checkpointed and marked for broadcast if its rows, counted, fit: row_bytes is what one takes at most.
+
+    Where a table is cut down to a bounded number of rows for each query, the optimiser still estimates it by what it
+    was cut from, and would move the other side of a join.
+    """
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() * row_bytes <= SMALL_BYTES else held
+
+
 def ranked(df: DataFrame, by: list[str], *order: Column, k: int | None = None, name: str = "rank") -> DataFrame:
     """df with each row's place, from 1, among the rows of its group; the first k of each.
 

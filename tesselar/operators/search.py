@@ -19,7 +19,7 @@ from tesselar.functions import vectors as V
 from tesselar.session import checkpointed
 
 from . import ann, dense, fusion, lexical, lsa
-from .common import top
+from .common import small
 from .rerank import Reranker
 
 MODES = tuple("bm25 vector rrf hybrid".split())
@@ -154,7 +154,7 @@ class Engine:
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}, not {mode!r}")
         use_ann = self.graph is not None if use_ann is None else use_ann
-        lex_top = checkpointed(top(self.index.score(queries), candidates))
+        lex_top = checkpointed(self.index.best(queries, candidates))
         pool, zero, none = lex_top.select("qid", "doc_id"), None, F.lit(None).cast("map<string,double>")
         if mode != "bm25":
             if self.vectors is None:
@@ -192,7 +192,8 @@ class Engine:
         else:
             hits = hits.withColumn("vector", F.lit(None).cast("double"))
         hits = hits.withColumn("fused", F.col("score")).withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-        hits = hits.join(self.chunks.select("doc_id", "title", "text", "doc", "project"), "doc_id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+        # Some hits of each query: they go to the texts.
+        hits = self.chunks.select("doc_id", "title", "text", "doc", "project").join(small(hits, 256), "doc_id").join(queries.select("qid", F.col("text").alias("query")), "qid")
         if reranker is None:
             hits = hits.withColumns({"reranked": F.lit(None).cast("double"), "rationale": F.lit("")})
         else:

@@ -12,7 +12,7 @@ from tesselar import cli
 from tesselar.functions import plain
 from tesselar.functions import vectors as V
 from tesselar.operators import ann, chunk, dense, evaluate, fusion, lexical, lsa, rerank, search
-from tesselar.operators.common import spread, top
+from tesselar.operators.common import ranked, spread, top
 from tesselar.plans import catalog
 
 TEXTS = [
@@ -374,3 +374,49 @@ def test_queries_against_sql(spark, sf_dir, name):
     want = con.sql(catalog.ORACLES[name])
     got = [tuple(r[c] for c in want.columns) for r in catalog.QUERIES[name](spark, sf_dir).collect()]
     assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr) and got
+
+
+def test_index_for_known_queries(spark, docs):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(40)] + ["a.b", "x-y_z", "Ünï", "the"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(400)] + [None, TEXTS[0], TEXTS[0]]
+    rows = list(enumerate(texts)) + [(5, texts[5]), (400, "")]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(r.choices(words, k=4))) for i in range(30)] + [(30, "b"), (31, None), (32, "zzz")], "qid long, text string")
+    grid = [(0.6, 0.3), (1.5, 0.75)]
+    for stem in (False, True):
+        whole, some = lexical.build(many, stem=stem, keep=False), lexical.asked(many, q, stem=stem)
+        near = lambda df: {(x.qid, x.doc_id): (round(x.score, 9), x.rank) for x in df.collect()}
+        assert near(some.best(q, 7)) == near(whole.best(q, 7)) and near(some.best(q.where("qid < 3"), 500)) == near(whole.best(q.where("qid < 3"), 500))
+        pairs = whole.best(q, 3)
+        terms = lambda ix: {(x.qid, x.doc_id, x.place, x.term, round(x.contrib, 9)) for x in ix.explain(q, pairs).collect()}
+        assert terms(some) == terms(whole)
+        assert {(x.term, x.df, round(x.idf, 9)) for x in some.terms(some.query_terms(q)).collect()} == {(x.term, x.df, round(x.idf, 9)) for x in whole.terms(whole.query_terms(q)).collect()}
+        best = lambda ix: {(x.k1, x.b, x.qid, x.doc_id, x.rank) for x in ranked(ix.score_grid(q, grid, k=3), ["k1", "b", "qid"], F.round("score", 9).desc(), F.col("doc_id").asc(), k=3).collect()}
+        assert best(some) == best(whole)
+    known = {(x.term, x.df) for x in lexical.vocabulary(many).collect()}
+    assert known == {(x.term, x.df) for x in lexical.build(many, keep=False).frequencies().collect()}
+
+
+def test_known_queries_move_no_texts(spark, sf_dir):
+    """Neither tokens nor postings are shuffled or held, and texts go to no join."""
+    for name in ("bm25_topk", "weighted_fusion_minmax", "bm25_param_grid", "bm25_stemmed_topk", "bm25_idf", "ndcg_at_k"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+        assert "InMemoryRelation" not in plan and "toks" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x), name
+
+
+def test_first_sentences_are_the_first_eligible(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "No prose; x == y. " * 30 + "The old man and the young woman were walking along the river bank yesterday.")], "doc_id long, text string"))
+    first = {r.doc_id: (r.pos, r.sentence) for r in evaluate.first_sentences(rows).where("pos IS NOT NULL").collect()}
+    assert first == {r.doc_id: (r.pos, r.sentence) for r in evaluate.pick(evaluate.eligible_sentences(rows), seed=None).collect()} and first
+
+
+def test_judgements_against_containment(spark, tmp_path):
+    texts = [(0, "one two three four"), (1, "a\tone two  three b"), (2, None), (3, ""), (4, "xone two three"), (5, "two")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(0, "one two three"), (1, "two"), (2, ""), (3, None), (4, "ne two  thr"), (5, "one two three")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(q, d) for q, p in asked for d, t in texts if p is not None and t is not None and p in t}
+    found = catalog.qrels(spark, str(tmp_path))
+    assert {(r.qid, r.doc_id) for r in found.collect()} == want
+    assert "Exchange" not in found.select("qid", "doc_id")._jdf.queryExecution().executedPlan().toString() or "Join" not in found._jdf.queryExecution().executedPlan().toString()
