@@ -13,7 +13,7 @@ from tesselar.functions import text as T
 from tesselar.functions import vectors as V
 
 from . import ann, dense, fusion, metrics, rerank
-from .common import ranked, spread, top
+from .common import ranked, small, spread, top
 from .lexical import LexicalIndex, build
 
 MODES = tuple("bm25 vector rrf hybrid".split())
@@ -35,9 +35,25 @@ def eligible_sentences(chunks: DataFrame, *, min_words: int = 10) -> DataFrame:
     return each.where(T.looks_like_prose(F.col("sentence")) & (F.size(T.content_words(F.col("sentence"))) >= 5))
 
 
+def first_sentences(chunks: DataFrame, *, min_words: int = 10) -> DataFrame:
+    """(doc_id, pos, sentence): the first eligible sentence of each row of chunks, as `eligible_sentences` has them, or nulls.
+
+    Later sentences are looked at only where no earlier one is eligible. A filter on the outcome would look twice.
+    """
+    fits = lambda x: T.looks_like_prose(x["sentence"]) & (F.size(T.content_words(x["sentence"])) >= 5)
+
+    def first(each: Column) -> Column:
+        placed = F.transform(each, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence")))
+        parts = lambda xs: [F.slice(xs, 1, 2), F.slice(xs, 3, 8), F.slice(xs, 11, F.greatest(F.size(xs), F.lit(1)))]
+        return F.get(F.transform(F.array(placed), lambda xs: F.coalesce(*[F.get(F.filter(part, fits), 0) for part in parts(xs)])), 0)
+
+    found = first(T.sentences(F.coalesce("text", F.lit("")), min_words=min_words))
+    return spread(chunks.select("doc_id", "text")).select("doc_id", found.alias("s")).select("doc_id", "s.pos", "s.sentence")
+
+
 def pick(candidates: DataFrame, *, seed: int | None = 0) -> DataFrame:
     """One sentence of each document: drawn by a digest of seed and place, or the first with no seed."""
-    by = F.col("pos") if seed is None else F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("pos"))
+    by = F.coalesce("pos", F.lit(2**31 - 1)) if seed is None else F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("pos"))
     return candidates.groupBy("doc_id").agg(F.min_by(F.struct("pos", "sentence"), F.struct(by, F.col("pos"))).alias("s")).select("doc_id", "s.pos", "s.sentence")
 
 
@@ -58,7 +74,8 @@ def ict_queries(chunks: DataFrame, *, n: int | None = 200, variant: str = "verba
     """
     if variant not in VARIANTS:
         raise ValueError(f"variant is one of {VARIANTS}, not {variant!r}")
-    chosen = pick(eligible_sentences(chunks, min_words=min_words), seed=seed)
+    eligible = first_sentences if seed is None else eligible_sentences
+    chosen = pick(eligible(chunks, min_words=min_words), seed=seed)
     if variant == "keyword":
         words = chosen.select("doc_id", F.explode(F.array_distinct(T.content_words(F.col("sentence")))).alias("term"))
         known = words.join(corpus_idf(chunks), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(8.0)))
@@ -79,9 +96,10 @@ def mask(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Texts are squeezed first, as sentences are: otherwise one across a line end would stay and give its query away.
     """
     removed = queries.groupBy(F.col("target").alias("doc_id")).agg(F.collect_list("sentence").alias("removed"))
-    out = chunks.join(removed, "doc_id", "left")
+    # Queries are few, and go to the texts.
+    out = chunks.join(small(removed, 1024), "doc_id", "left")
     masked = F.aggregate(F.coalesce("removed", F.array().cast("array<string>")), T.squeezed(F.col("text")), lambda t, s: F.replace(t, s, F.lit(" ")))
-    return out.withColumn("text", T.squeezed(masked)).select(*chunks.columns)
+    return out.withColumn("text", F.when(F.col("removed").isNull(), T.squeezed(F.col("text"))).otherwise(T.squeezed(masked))).select(*chunks.columns)
 
 
 def target_ranks(run: DataFrame, queries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
