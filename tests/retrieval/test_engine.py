@@ -420,3 +420,21 @@ def test_judgements_against_containment(spark, tmp_path):
     found = catalog.qrels(spark, str(tmp_path))
     assert {(r.qid, r.doc_id) for r in found.collect()} == want
     assert "Exchange" not in found.select("qid", "doc_id")._jdf.queryExecution().executedPlan().toString() or "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lsa_rows_come_from_texts(spark, docs):
+    """Vocabulary and rows without a shuffle of counts are those of the counted terms, and repeated identifiers still make one document."""
+    counts, n = lsa.term_counts(docs), len(TEXTS)
+    vocab = lsa.vocabulary(counts, n, min_df=1).orderBy("term").toPandas()
+    assert {(r.term, r.df) for r in lsa.document_frequencies(docs).collect()} == {(r.term, r.df) for r in counts.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    terms = spark.createDataFrame([(t, i, float(x)) for i, (t, x) in enumerate(zip(vocab["term"], vocab["idf"]))], "term string, term_id int, idf double")
+    want = {r.doc_id: (r.at, pytest.approx(r.w)) for r in lsa.sparse(lsa.tfidf(counts, terms), terms).collect()}
+    rows = lsa.weighted(docs, list(vocab["term"]), vocab["idf"].to_numpy(), unit=True)
+    assert {r.doc_id: (r.at, r.w) for r in rows.collect() if r.at} == want
+    assert "Window" not in rows._jdf.queryExecution().toString()
+    twice = lsa.fit(docs, dim=2, min_df=1).embed_documents(docs.union(docs.where("doc_id = 1")))
+    assert twice.count() == n
+
+
+def test_products_of_lsa_are_computed_once(spark):
+    assert "repartitionByRange" not in inspect.getsource(lsa._gram_times)
